@@ -1,9 +1,77 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
-STAGES = []
+Every stage but the last returns the columns of ``documents``. Stages judge rows, not ids: rows with
+a null doc_id and repeated rows pass through each stage like all others, except that the duplicate
+stage keeps one row of each doc_id that it keeps (a row with a null doc_id stays unless it is a copy
+of another document).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.llm import bpe, decontam, jaccard_join, pii, quality
+from loomgraph.llm.common import drop_folder, shared_folder
+from loomgraph.llm.queries import WORD_BPE
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the current policy accepts."""
+    judged = quality.apply_policy(quality.rule_ledger(docs), "v1")
+    return judged.where("kept").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of similar ones: that with the smallest doc_id."""
+    found = jaccard_join.similar_documents(docs)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    lone = docs.where(F.col("doc_id").isNull())
+    return named.select(docs.columns).unionByName(lone)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold too much of the benchmark."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontam.decontaminate(docs, benchmark, clean_only=True)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by the names of their kinds."""
+    tagger = pii.train(docs.select("doc_id", "text"), "doc_id", "text")
+    return pii.redact(docs, tagger, length="n_chars" if "n_chars" in docs.columns else None)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode and decode every text; documents with their numbers of tokens and digests."""
+    return bpe.bpe_encode_decode(docs, WORD_BPE)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("bpe", bpe_tokens),
+]
+
+#: The network of the PII stage and the encoder can't be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents; what a stage returns is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
+    for name, stage in STAGES:
+        path = shared_folder(spark, f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            drop_folder(spark, before)
+        before = path
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, langid, quality, token_counts, warc
+from loomgraph.llm import bpe, decontam, jaccard_join, langid, pii, quality, secrets, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +24,18 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pii.find_personal_data(docs, pii.train(docs, "doc_id", "text")).drop("text")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long")
+    every = F.array_sort(F.concat("base_spans", "added_spans"))
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.shown(F.col("base_spans")), 256).alias("base_sha256"), secrets.shown(every).alias("spans"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return out.drop("text")
@@ -33,6 +45,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_BPE).drop("text")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -47,7 +63,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op5_decontamination, op6_token_counts, op8_warc, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality)}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
