@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard_join, langid, pii, quality, secrets, token_counts, warc
+from loomgraph.llm import bpe, decontam, jaccard_join, langid, pii, quality, secrets, suffix_dedup, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(docs, pii.train(docs, "doc_id", "text")).drop("text")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(spark, table(spark, sf_dir, "documents", "doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s.kind == kind)).cast("long")
@@ -63,9 +67,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality)}
 
 ORACLE_SQL = {
+    "op3_suffix_dedup": r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+w AS (SELECT doc_id, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(n_bytes - 49, 0))) AS s FROM d)),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY 1),
+u AS (SELECT doc_id, s FROM w JOIN f USING (g) WHERE first < doc_id),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 50 AS b FROM (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r
+         FROM (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM u)) GROUP BY doc_id, r),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY 1)
+SELECT doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(1, len(starts) + 2),
+           lambda i: substr(h, CAST(CASE WHEN i = 1 THEN 0 ELSE 2 * ends[i - 1] END + 1 AS BIGINT), CAST(2 * (CASE WHEN i > len(starts) THEN n_bytes ELSE starts[i] END - CASE WHEN i = 1 THEN 0 ELSE ends[i - 1] END) AS BIGINT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
     "op5_decontamination": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
