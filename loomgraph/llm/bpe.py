@@ -25,7 +25,8 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_bytes, forget, with_columns
 
-CACHE_CHUNKS = 300_000
+#: Entries of one generation of a cache; two generations are held.
+CACHE_CHUNKS, CACHE_WORDS = 200_000, 250_000
 CACHE_PAIRS = 600_000
 NEVER = 1 << 60
 END = "</w>"
@@ -43,6 +44,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Generations:
+    """A bounded cache that keeps what is asked for: a full generation becomes the older one, and entries found there move up."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys in neither generation; the others are in the young one afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        absent = keys.difference(self.young)
+        for key in absent.intersection(self.old):
+            self.young[key] = self.old[key]
+        return [*absent.difference(self.young)]
+
+
 class TrieBpe:
     """Words are strings of symbols: U+0000-U+00FF for a byte, U+0100-U+01FF for the last byte of a word."""
 
@@ -69,7 +86,7 @@ class TrieBpe:
         self.ends = {t[i:] for t in self.ids for i in range(len(t))}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[list, list] | None] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
+        self.chunks, self.known = Generations(CACHE_CHUNKS), Generations(CACHE_WORDS)
 
     def symbols(self, token: str) -> str | None:
         end = token.endswith(END) and token != END
@@ -178,31 +195,34 @@ class TrieBpe:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Put chunks into the cache as (count, ids joined by spaces, shown tokens joined by spaces)."""
+        """Put chunks into the cache as (count, ids joined by spaces, shown tokens joined by spaces), as words are."""
         split = [self.words(c) for c in chunks]
-        encoded = self.encode_words(list({w for words in split for w in words if isinstance(w, str)}))
-        for chunk, words in zip(chunks, split, strict=True):
-            ids = [i for w in words for i in ([w] if isinstance(w, int) else map(self.ids.__getitem__, encoded[w]))]
-            self.chunks[chunk] = len(ids), " ".join(map(str, ids)), " ".join(map(self.shown.__getitem__, ids))
+        new = self.known.missing({w for words in split for w in words})
+        words = self.known.young
+        for word, tokens in self.encode_words([w for w in new if isinstance(w, str)]).items():
+            ids = [self.ids[t] for t in tokens]
+            words[word] = len(ids), " ".join(map(str, ids)), " ".join(map(self.shown.__getitem__, ids))
+        words |= {i: (1, str(i), self.shown[i]) for i in new if isinstance(i, int)}
+        self.chunks.young |= {c: words[parts[0]] if len(parts) == 1 else joined([words[w] for w in parts]) for c, parts in zip(chunks, split, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by spaces and decoded text of each text."""
         split = [[] if not t else _SPLIT.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        if len(self.chunks) > CACHE_CHUNKS:
-            forget(self.chunks)
-        if new := list({c for parts in split for c in parts if c}.difference(self.chunks)):
+        if new := self.chunks.missing({c for parts in split for c in parts}):
             self.learn(new)
-        out = []
-        for parts in split:
-            got = [x for c in parts if c and (x := self.chunks[c])[0]]
-            out.append((sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])))
-        return out
+        chunks = self.chunks.young
+        return [joined([x for c in parts if (x := chunks[c])[0]]) for parts in split]
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder does: tokens joined by spaces, special ones kept."""
         return " ".join(self.shown[i] for i in ids)
 
 
+def joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
+    """Encodings in a row; chunks without tokens are left out before."""
+    return sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
+
+
 def encoder(path: str) -> TrieBpe:
     if path not in _encoders:
         _encoders[path] = TrieBpe(path)
