@@ -32,6 +32,15 @@ KINDS = ["assign", "access", "hex", "random"]
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 THRESHOLD = 10.0
+#: Words of ordinary identifiers that every training sample holds, however small the corpus.
+PLAIN = (
+    "account address adapter array average batch brown buffer builder button cache change channel client color column config context count create current customer daily data date default delete "
+    "document element encoder error event example factory field file filter first format forward function global group handler header height history identifier image index input instance item "
+    "language last latest length level limit line linear list local logger manager matrix message method model module monthly name network node number object offset option order output package "
+    "page parameter parent parser path pattern payment plain position previous product project property quick random range reader record report request resource response result return route "
+    "sample schema score search section server service session simple size some sort source start state station status stock store stream string table target task temp test text the thread time "
+    "total train type update upper user utils value variable vector version view weekly weight width window worker writer year"
+).split()
 #: Texts that ordinary identifiers are taken from, and random strings made, at most about.
 SAMPLE_TEXTS = 500
 SAMPLE_STRINGS = 4000
@@ -53,7 +62,8 @@ def labelled_samples(docs: DataFrame, key: str, text: str, texts: int = SAMPLE_T
         kebab = F.transform(at, lambda i: F.concat(F.lit("20"), number(i), F.lit("-"), F.lower(w[i]), F.lit("-"), F.lower(w[i + 1])))
         return F.concat(snake, camel, kebab)
 
-    ordinary = words.select(F.explode(joined(F.col("w"))).alias("sample"), F.lit(False).alias("is_random"))
+    plain = spark.range(20).select(F.sort_array(F.transform(F.array(*map(F.lit, PLAIN)), lambda w: F.struct(F.xxhash64(w, F.col("id")).alias("h"), w.alias("w")))).alias("s")).select(F.transform("s", lambda x: x.w).alias("w"))
+    ordinary = words.unionByName(plain).select(F.explode(joined(F.col("w"))).alias("sample"), F.lit(False).alias("is_random"))
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = spark.range(strings).select(F.when(F.col("id") % 4 == 0, digest).otherwise(F.rtrim(F.translate(F.base64(F.unhex(digest)), "=", " "))).alias("sample"), F.lit(True).alias("is_random"))
     return ordinary.unionByName(random)
