@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import running_offsets
+
 TINY = 1e-18
 
 
@@ -24,11 +26,10 @@ def confusion(df: DataFrame, predicted: str, truth: str) -> DataFrame:
 def roc_auc(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties at their mean rank.
 
-    Scores are counted first; running counts are over distinct scores only.
+    Scores are counted first, and running counts of distinct scores are taken range by range.
     """
     each = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(truth).cast("long")).alias("p"))
-    below = F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    ranked = each.select("n", "p", (F.col("p") * (below + (F.col("n") + 1) / 2)).alias("r"))
+    ranked = running_offsets(each, "s", "n", "below").select("n", "p", (F.col("p") * (F.col("below") + (F.col("n") + 1) / 2)).alias("r"))
     total = ranked.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum("r").alias("r"))
     return total.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0))).alias("auc"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graph import running_offsets
+
 
 def draw(*parts: Column | str) -> Column:
     """A number below 2^28 from the md5 of values joined by bars."""
@@ -35,10 +37,12 @@ def split_phases(df: DataFrame, key: str, dev: int = 1, evaluate: int = 1, of: i
     return df.withColumn("phase", F.when(rest < dev, "dev").when(rest < dev + evaluate, "eval").otherwise("train"))
 
 
-def batches(df: DataFrame, order: list[str], size: int, drop_last: bool) -> DataFrame:
-    """Add batch (from 0) in order; ``drop_last`` drops the short batch."""
-    numbered = df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size))
-    return numbered.withColumn("__n", F.count("*").over(Window.partitionBy("batch"))).where((F.col("__n") == size) | F.lit(not drop_last)).drop("__n")
+def batches(df: DataFrame, order: str, size: int, drop_last: bool) -> DataFrame:
+    """Add batch (from 0) in order; ``drop_last`` drops the short batch. Rows are numbered range by range, not in one task."""
+    total = df.count()
+    last = total // size if drop_last else -(-total // size)
+    numbered = running_offsets(df.withColumn("__one", F.lit(1)), order, "__one", "__n")
+    return numbered.withColumn("batch", F.floor(F.col("__n") / size)).where(F.col("batch") < last).drop("__one", "__n")
 
 
 def length_bucketed_batches(df: DataFrame, key: str, length: str, budget: int, parts: int = 1) -> DataFrame:

@@ -467,7 +467,7 @@ def phases(spark, sf_dir):
 
 @query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 64 AS BIGINT) AS batch FROM labels QUALIFY count(*) OVER (PARTITION BY (SELECT 1)) >= 0 AND (row_number() OVER (ORDER BY doc_id) - 1) // 64 < count(*) OVER () // 64")
 def full_batches(spark, sf_dir):
-    return sampling.batches(graph.load(spark, sf_dir, "labels")["labels"], ["doc_id"], 64, drop_last=True).select("doc_id", "batch")
+    return sampling.batches(graph.load(spark, sf_dir, "labels")["labels"], "doc_id", 64, drop_last=True).select("doc_id", "batch")
 
 
 @query()
