@@ -69,7 +69,7 @@ def reconstituted(pieces: Column) -> Column:
         text = F.concat(a.open, F.when(more, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p))
         return F.struct(F.when(more, a.done).otherwise(F.concat(a.done, F.array(text))).alias("done"), F.when(more, text).otherwise("").alias("open"))
 
-    return F.transform(F.aggregate(pieces, start, step).done, unsanitize)
+    return F.transform(F.aggregate(pieces, start, step).done, lambda x: unsanitize(x))
 
 
 def identifier_pieces(name: Column) -> Column:

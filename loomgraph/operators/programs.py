@@ -110,3 +110,77 @@ def leaf_paths(paths_up: DataFrame, longest: int, seed: str = "0") -> DataFrame:
     room = F.greatest(F.size("whole") - longest, F.lit(0))
     start = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "graph_id")), 1, 7), 16, 10).cast("long"), room + 1).cast("int")
     return whole.select("graph_id", F.slice("whole", start + 1, F.lit(longest)).alias("path"))
+
+
+# relations of syntax trees: nodes have (graph_id, node, name, line, column), children (graph_id, node, parent)
+
+
+def subtree(children: DataFrame, depth: int | None = None) -> DataFrame:
+    """(graph_id, root, node, distance) of all nodes below each node, at most ``depth`` levels down."""
+    keyed = children.select(F.struct("graph_id", "node").alias("node"), F.struct("graph_id", "parent").alias("parent"))
+    found = ancestors(keyed, depth or 1000).where(F.lit(depth is None) | (F.col("distance") <= (depth or 0)))
+    return found.select(F.col("node.graph_id").alias("graph_id"), F.col("ancestor.parent").alias("root"), F.col("node.node").alias("node"), "distance")
+
+
+def returns_to(nodes: DataFrame, children: DataFrame, depth: int | None = None) -> DataFrame:
+    """(graph_id, src, dst): from each return to the nearest function around it (within ``depth`` levels)."""
+    above = subtree(children, depth)
+    functions = nodes.where(F.col("name").isin("FunctionDef", "AsyncFunctionDef", "Lambda")).select("graph_id", F.col("node").alias("root"))
+    returns = nodes.where(F.col("name") == "Return").select("graph_id", "node")
+    held = above.join(functions, ["graph_id", "root"], "left_semi").join(returns, ["graph_id", "node"], "left_semi")
+    return held.groupBy("graph_id", F.col("node").alias("src")).agg(F.min_by("root", "distance").alias("dst"))
+
+
+def computed_from(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """(graph_id, src, dst): from each assigned variable to the variables its value names; both sides carry the assignment's node (statement)."""
+    right = names.select("graph_id", "statement", F.col("node").alias("dst"))
+    return assigned.select("graph_id", "statement", F.col("node").alias("src")).join(right, ["graph_id", "statement"]).select("graph_id", "src", "dst")
+
+
+def guarded_by(branch_names: DataFrame, guard_names: DataFrame, negated: bool = False) -> DataFrame:
+    """(graph_id, src, dst, label): from each variable in a branch to the guard (condition) that names it too."""
+    guards = guard_names.select("graph_id", "branch", "name", F.col("condition").alias("dst")).distinct()
+    label = "GuardedByNegation" if negated else "GuardedBy"
+    return branch_names.select("graph_id", "branch", "name", F.col("node").alias("src")).join(guards, ["graph_id", "branch", "name"]).select("graph_id", "src", "dst", F.lit(label).alias("label"))
+
+
+def categories(edges: DataFrame, kinds: list[str]) -> DataFrame:
+    """(graph_id, label, pairs) for every graph and kind, empty where a graph has no such edge."""
+    spark = edges.sparkSession
+    frame = edges.select("graph_id").distinct().join(F.broadcast(spark.createDataFrame([(k,) for k in kinds], "label string")))
+    lists = edges.groupBy("graph_id", "label").agg(F.array_sort(F.collect_list(F.array(F.col("src"), F.col("dst")))).alias("pairs"))
+    empty = F.array().cast(lists.schema["pairs"].dataType)
+    return frame.join(lists, ["graph_id", "label"], "left").select("graph_id", "label", F.coalesce("pairs", empty).alias("pairs"))
+
+
+def neighbouring_files(files: DataFrame, number: str, label: str, other: str) -> DataFrame:
+    """Each file with the file of the other label that has the next or the previous number."""
+    there = files.where(F.col(label) == other).select(F.explode(F.array(F.col(number) - 1, F.col(number) + 1)).alias(number), F.struct(*files.columns).alias("partner"))
+    return files.where(F.col(label) != other).join(there, number)
+
+
+#: Operators by the names of their syntax nodes.
+OPERATORS = {
+    "Add": "+", "Sub": "-", "Mult": "*", "Div": "/", "Mod": "%", "Pow": "**", "LShift": "<<", "RShift": ">>", "BitOr": "|", "BitXor": "^", "BitAnd": "&", "FloorDiv": "//",
+    "Eq": "==", "NotEq": "!=", "Lt": "<", "LtE": "<=", "Gt": ">", "GtE": ">=", "Not": "not",
+}
+
+
+def operator_symbol(name):
+    """Column: the symbol of an operator node, null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in OPERATORS.items() for x in pair]), name)
+
+
+def masked(code, column, word, mask: str = "___CURR___"):
+    """Column: the first occurrence of a word at or after a column (from 0) replaced by a mask."""
+    rest = F.substring(code, column + 1, F.length(code))
+    at = F.instr(rest, word)
+    return F.when(at > 0, F.concat(F.substring(code, F.lit(1), column + at - 1), F.lit(mask), F.substring(rest, at + F.length(word), F.length(code)))).otherwise(code)
+
+
+def sentences(tokens: DataFrame, group: str = "doc") -> DataFrame:
+    """(group, sentence, tokens): tokens (group, pos, kind, spelling) cut after each NEWLINE; a NEWLINE alone is a sentence of its own."""
+    before = Window.partitionBy(group).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = tokens.withColumn("sentence", F.coalesce(F.count_if(F.col("kind") == "NEWLINE").over(before), F.lit(0)))
+    lists = numbered.groupBy(group, "sentence").agg(F.array_sort(F.collect_list(F.struct("pos", "spelling"))).alias("s"))
+    return lists.select(group, "sentence", F.transform("s", lambda x: x.spelling).alias("tokens"))

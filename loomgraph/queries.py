@@ -164,7 +164,7 @@ def transition_probabilities(spark, sf_dir):
     return walks.transition_probabilities(_edges(spark, sf_dir, SMALL), ("nation",))
 
 
-ANCHORS, WALKS, STEPS = "region", 4, 5
+WALKS, STEPS = 4, (3, 6)
 
 
 def _walks(spark, sf_dir):
@@ -173,14 +173,19 @@ def _walks(spark, sf_dir):
 
 
 def _walk_sql() -> str:
+    low, high = STEPS
+    number = lambda x: f"CAST(('0x' || substr(md5({x}), 1, 7)) AS BIGINT)"
     parts = [f"{SMALL_EDGES}, {WAYS}", "o AS (SELECT src, dst, list_sort(list(DISTINCT label)) AS labels, CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS w FROM ways GROUP BY src, dst)"]
-    parts.append(f"s0 AS (SELECT 'region(' || r_regionkey || ')' AS anchor, CAST(walk AS INT) AS walk, 0 AS step, 'region(' || r_regionkey || ')' AS node, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS used FROM region, range(1, {WALKS + 1}) t(walk))")
-    for i in range(1, STEPS + 1):
-        parts.append(f"d{i} AS (SELECT anchor, walk, node AS origin, used, dst, labels, list_min(list_transform(range(1, w + 1), lambda t: md5('3|' || anchor || '|' || walk || '|{i}|' || dst || '|' || t))) AS draw FROM s{i - 1} JOIN o ON src = node)")
-        parts.append(f"b{i} AS (SELECT *, labels[CAST(('0x' || substr(md5('3|' || anchor || '|' || walk || '|{i}|edge'), 1, 7))::BIGINT % len(labels) AS BIGINT) + 1] AS label FROM d{i} QUALIFY row_number() OVER (PARTITION BY anchor, walk ORDER BY draw, dst) = 1)")
+    parts.append(f"r AS (SELECT 'region(' || r_regionkey || ')' AS anchor, CAST(walk AS INT) AS walk FROM region, range(1, {WALKS + 1}) t(walk))")
+    length = number("'3|' || anchor || '|' || walk || '|length'")
+    parts.append(f"s0 AS (SELECT anchor, walk, {low} + {length} % {high - low + 1} AS length, anchor AS node, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS used, true AS moved FROM r)")
+    for i in range(1, high + 1):
+        parts.append(f"d{i} AS (SELECT anchor, walk, length, node AS origin, used, dst, labels, list_min(list_transform(range(1, w + 1), lambda t: md5('3|' || anchor || '|' || walk || '|{i}|' || dst || '|' || t))) AS draw FROM s{i - 1} JOIN o ON src = node WHERE length >= {i})")
+        edge = number(f"'3|' || anchor || '|' || walk || '|{i}|edge'")
+        parts.append(f"b{i} AS (SELECT *, labels[{edge} % len(labels) + 1] AS label FROM d{i} QUALIFY row_number() OVER (PARTITION BY anchor, walk ORDER BY draw, dst) = 1)")
         parts.append(f"n{i} AS (SELECT *, least(origin, dst) || ' ' || greatest(origin, dst) || ' ' || label AS name FROM b{i})")
-        parts.append(f"s{i} AS (SELECT anchor, walk, {i} AS step, dst AS node, label, list_append(used, name) AS used FROM n{i} WHERE NOT list_contains(used, name))")
-    union = " UNION ALL ".join(f"SELECT anchor, walk, step, node, label FROM s{i}" for i in range(STEPS + 1))
+        parts.append(f"s{i} AS (SELECT anchor, walk, length, CASE WHEN list_contains(used, name) THEN origin ELSE dst END AS node, label, CASE WHEN list_contains(used, name) THEN used ELSE list_append(used, name) END AS used, NOT list_contains(used, name) AS moved FROM n{i})")
+    union = " UNION ALL ".join(f"SELECT anchor, walk, {i} AS step, node, label FROM s{i} WHERE moved" for i in range(high + 1))
     return f"WITH {', '.join(parts)} {union}"
 
 

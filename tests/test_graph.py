@@ -67,8 +67,8 @@ def test_ancestors_and_handlers(spark):
 def test_walk_invariants(spark):
     edges = chain(spark, *[(f"n({i})", f"n({(i * 7 + 3) % 12})") for i in range(12) if i != (i * 7 + 3) % 12], ("n(0)", "py_exprs(1)"), ("py_exprs(1)", "n(5)"))
     anchors = spark.createDataFrame([("n(0)",), ("n(5)",)], "anchor string")
-    one = walks.random_walks(edges, anchors, 30, 6, walks.FAVOURED, seed=1)
-    again = walks.random_walks(edges.repartition(7), anchors.repartition(3), 30, 6, walks.FAVOURED, seed=1)
+    one = walks.random_walks(edges, anchors, 30, (4, 6), walks.FAVOURED, seed=1)
+    again = walks.random_walks(edges.repartition(7), anchors.repartition(3), 30, (4, 6), walks.FAVOURED, seed=1)
     assert sorted(map(str, one.collect())) == sorted(map(str, again.collect()))
     pairs = {frozenset([r.src, r.dst]) for r in edges.collect()}
     for row in walks.as_arrays(one).collect():
@@ -82,7 +82,7 @@ def test_walk_invariants(spark):
 
 def test_weights_of_walks(spark):
     edges = chain(spark, ("c(0)", "py_exprs(1)"), ("c(0)", "d(1)"))
-    first = walks.random_walks(edges, spark.createDataFrame([("c(0)",)], "anchor string"), 3000, 1, walks.FAVOURED).where("step = 1")
+    first = walks.random_walks(edges, spark.createDataFrame([("c(0)",)], "anchor string"), 3000, (1, 1), walks.FAVOURED).where("step = 1")
     heavy = first.where(F.col("node") == "py_exprs(1)").count()
     assert 0.80 < heavy / first.count() < 0.87
 
@@ -124,3 +124,28 @@ def test_offsets_over_ranges(spark):
     for row in graph.running_offsets(df, "id", "size").orderBy("id").collect():
         assert row.offset == total
         total += row.size
+
+
+def test_tree_relations(spark):
+    df = programs.syntax_graph(spark.createDataFrame([("g", "def f(a):\n    if a:\n        return a\n    return 0\n")], "graph_id string, code string"), "graph_id", "code")
+    nodes = df.where("kind = 'node'").select("graph_id", F.col("a").alias("node"), "name", "line", "column")
+    children = df.where("kind = 'edge'").select("graph_id", F.col("b").alias("node"), F.col("a").alias("parent"))
+    function = nodes.where("name = 'FunctionDef'").collect()[0].node
+    back = programs.returns_to(nodes, children).collect()
+    assert len(back) == 2 and {r.dst for r in back} == {function}
+    assert len(programs.returns_to(nodes, children, depth=1).collect()) == 1
+    guards = spark.createDataFrame([("g", 1, "a", 7)], "graph_id string, branch int, name string, condition int")
+    inside = spark.createDataFrame([("g", 1, "a", 9), ("g", 1, "b", 10)], "graph_id string, branch int, name string, node int")
+    assert [(r.src, r.dst, r.label) for r in programs.guarded_by(inside, guards).collect()] == [(9, 7, "GuardedBy")]
+    edges = spark.createDataFrame([("g", 1, 2, "Child")], "graph_id string, src int, dst int, label string")
+    assert {r.label: r.pairs for r in programs.categories(edges, ["Child", "LastUse"]).collect()} == {"Child": [[1, 2]], "LastUse": []}
+
+
+def test_masks_symbols_sentences(spark):
+    df = spark.createDataFrame([("x = x + y", 4, "x", "Add"), ("abc", 0, "z", "Foo")], "code string, at int, word string, op string")
+    rows = df.select(programs.masked(F.col("code"), F.col("at"), F.col("word")).alias("m"), programs.operator_symbol(F.col("op")).alias("o")).collect()
+    assert [(r.m, r.o) for r in rows] == [("x = ___CURR___ + y", "+"), ("abc", None)]
+    toks = spark.createDataFrame([(1, 0, "NAME", "a"), (1, 1, "NEWLINE", "\n"), (1, 2, "NEWLINE", "\n"), (1, 3, "NAME", "b")], "doc int, pos int, kind string, spelling string")
+    assert [r.tokens for r in programs.sentences(toks).orderBy("sentence").collect()] == [["a", "\n"], ["\n"], ["b"]]
+    files = spark.createDataFrame([(1, "correct"), (2, "misuse"), (5, "correct")], "n int, kind string")
+    assert [r.partner.n for r in programs.neighbouring_files(files, "n", "kind", "misuse").collect()] == [2]
