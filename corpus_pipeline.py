@@ -19,9 +19,10 @@ from loomgraph.llm.queries import WORD_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the current policy accepts."""
-    judged = quality.apply_policy(quality.rule_ledger(docs), "v1")
-    return judged.where("kept").select(docs.columns)
+    """Keep the documents that the current policy accepts; columns named like measures stay as they are."""
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    judged = quality.apply_policy(quality.rule_ledger(docs.withColumnsRenamed(own), own["text"]), "v1")
+    return judged.where("kept").select(*own.values()).withColumnsRenamed({new: old for old, new in own.items()})
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

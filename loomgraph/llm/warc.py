@@ -8,8 +8,8 @@ Archives are text files whose line separator is the blank line that ends a WARC
 own writer commits them (retried tasks leave nothing behind) to any file system; readers go by
 Content-Length. Payloads pass as UTF-8 unchanged.
 
-Defined results: a null payload is empty, and so a response; null ids are kept as null and rank
-below all others; repeated ids are records of their own; a null URL is written as ``urn:none`` and
+Defined results: a null payload is empty, and so a response; rows with a null id keep it and are
+responses, but no original; repeated ids are records of their own; a null URL is written as ``urn:none`` and
 line breaks in URLs are percent-encoded; an empty table gives an archive without records; other
 input columns are not read.
 """

@@ -184,6 +184,16 @@ def test_pipeline(spark, tmp_path):
     assert all(name in out[0].__fields__ for name in ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def test_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = documents(spark).withColumn("n_letters", F.lit("mine"))
+    kept = corpus_pipeline.quality_rules(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {(r.n_words, r.kept, r.n_letters) for r in kept.collect()} == {("w", "k", "mine")}
+    assert corpus_pipeline.quality_rules(spark, empty(spark), "").count() == 0
+
+
 def test_registered():
     import __spark_entry__
 
