@@ -29,11 +29,27 @@ def _shared_root(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, purpose: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a table in the shared folder, which outlives lost executors."""
+    """Cut the lineage of ``df`` with a table in the shared folder, which outlives lost executors.
+
+    Nothing else reads the shuffles of the write, so their files go with it.
+    """
     spark = df.sparkSession
-    path = shared_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, setting = shared_folder(spark, purpose), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`settle` that nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df.folder)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -5,14 +5,14 @@ into groups, and the counts of a set in the groups are a point; the sum of the c
 two points bounds the overlap of their sets, and likewise of a point and a box of points.
 
 1. *Classes.* Texts with equal sets are one class, named by the sets' digest; only classes go on.
-2. *Meeting.* Two sets with a similarity of 0.8 share one of the first ``n - ceil(0.8 n) + 1``
-   shingles of each in any one order. The order here puts shingles that are frequent in a sample
+2. *Meeting.* Two sets with a similarity of 0.8 share k of the first ``n - ceil(0.8 n) + k``
+   shingles of each in any one order; k grows with n, so long texts need many. The order here puts shingles that are frequent in a sample
    last, which changes what is cheap and never what is found. Classes meet at shared keys.
-3. *Leaders.* At every key each class is first tried against the key's smallest class; most copies
-   of one text are linked so, with as many tries as there are copies.
+3. *Leaders.* At every key each class is first tried against the class there that shares most of its
+   own keys with others; most copies of one text are linked so, with as many tries as copies.
 4. *R-trees.* Keys at which classes of different components still meet are indexed (large ones in
    blocks, so no task holds a whole hot key); searches skip boxes whose bound is too small or whose
-   points are all of the searching class's own component. Surviving pairs are verified.
+   points are all of the searching class's own component. Pairs that survive at k keys are verified.
 5. Links of both rounds give the components; labels spread over tables in the shared folder.
 
 Defined results: null or empty texts and texts without words have empty sets, are linked with
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import by_bytes, settle, text_bytes
+from loomgraph.llm.common import by_bytes, discard, settle, text_bytes
 
 SHINGLE = 5
-#: Coordinates of a point; points in a leaf of a tree; classes in one block of a hot key.
-GROUPS, LEAF, BLOCK = 32, 32, 2000
+#: Coordinates of a point and their ceiling; points in a leaf of a tree; classes in one block of a hot key.
+GROUPS, CEILING = 96, 65535
+LEAF, BLOCK = 32, 2000
 #: Sample that tells frequent shingles: texts, texts it takes to be frequent, and most shingles kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 
@@ -104,13 +105,35 @@ def digest(found: np.ndarray) -> int:
 
 
 def point(found: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((found % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint32)
+    """Counts in the groups; one at the ceiling stands for any larger one."""
+    return np.minimum(np.bincount((found % np.uint64(groups)).astype(np.int64), minlength=groups), CEILING).astype(np.uint16)
+
+
+def points_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, GROUPS)
+
+
+def bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Largest overlap that the points allow; without limit where both are at the ceiling."""
+    low = np.minimum(p, q)
+    total = low.sum(1, dtype=np.int64)
+    return np.where(low.max(1, initial=0) == CEILING, 1 << 60, total)
+
+
+def sizes_fit(n_a, n_b):
+    """Column condition: sets of these sizes can be similar."""
+    return (5 * F.least(n_a, n_b)) >= (4 * F.greatest(n_a, n_b))
+
+
+def needed_keys(n):
+    """Keys that a similar pair shares at least, for its smaller need; from 1 up with the size of a set."""
+    return 1 + n // 40
 
 
 def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles, frequent ones last."""
+    """The first n - ceil(0.8 n) + k shingles, frequent ones last: similar sets share k of them, k being the smaller need of both."""
     n = len(found)
-    size = n - (4 * n + 4) // 5 + 1 if n else 0
+    size = n - (4 * n + 4) // 5 + needed_keys(n) if n else 0
     if len(frequent) and n:
         at = np.searchsorted(frequent, found)
         late = frequent[np.minimum(at, len(frequent) - 1)] == found
@@ -120,17 +143,15 @@ def prefix(found: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 def may_link(overlap: np.ndarray, n_a, n_b) -> np.ndarray:
     """Whether an overlap of at most ``overlap`` allows a similarity of 0.8."""
-    return 9 * overlap.astype(np.int64) >= 4 * (n_a + n_b)
+    return overlap >= (4 * (n_a + n_b) + 8) // 9
 
 
 class CountTree:
     """R-tree over count vectors, packed by sorting; nodes hold coordinate maxima, smallest size and one component or -1."""
 
-    def __init__(self, points: np.ndarray, components: np.ndarray, leaf: int = LEAF):
-        spread = points.astype(np.int64)
-        order = np.lexsort((spread[:, 1 % points.shape[1]], spread[:, 0], spread.sum(1)))
-        self.order, self.points, self.components = order, points[order].astype(np.int64), components[order]
-        self.sizes = self.points.sum(1)
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, components: np.ndarray, leaf: int = LEAF):
+        order = np.lexsort((points[:, 1], points[:, 0], sizes))
+        self.order, self.points, self.components, self.sizes = order, points[order], components[order], sizes[order]
         self.levels = [self._pack(self.points, self.sizes, self.components, leaf)]
         while len(self.levels[-1][0]) > leaf:
             self.levels.append(self._pack(*self.levels[-1][:3], leaf))
@@ -143,18 +164,16 @@ class CountTree:
         mixed = (low_c != high_c) | (np.minimum.reduceat(components, at) < 0)
         return np.maximum.reduceat(high, at), np.minimum.reduceat(small, at), np.where(mixed, -1, low_c)
 
-    def search(self, p: np.ndarray, component: int) -> np.ndarray:
+    def search(self, p: np.ndarray, n: int, component: int) -> np.ndarray:
         """Numbers of points of other components that the bound leaves."""
-        p = p.astype(np.int64)
-        n = p.sum()
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, small, owner = self.levels[depth]
-            fits = may_link(np.minimum(high[nodes], p).sum(1), n, small[nodes]) & (owner[nodes] != component)
+            fits = may_link(bound(high[nodes], p), n, small[nodes]) & (owner[nodes] != component)
             below = len(self.points) if depth == 0 else len(self.levels[depth - 1][0])
             nodes = (nodes[fits][:, None] * self.leaf + np.arange(self.leaf)).ravel()
             nodes = nodes[nodes < below]
-        fits = may_link(np.minimum(self.points[nodes], p).sum(1), n, self.sizes[nodes]) & (self.components[nodes] != component)
+        fits = may_link(bound(self.points[nodes], p), n, self.sizes[nodes]) & (self.components[nodes] != component)
         return self.order[nodes[fits]]
 
 
@@ -190,59 +209,86 @@ def frequent_shingles(docs: DataFrame, count: int) -> np.ndarray:
 
 
 def meeting_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, class) for the prefix of each text's set."""
+    """(key, class, n) for the prefix of each set; a task sends a class once, however many copies it reads."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
-        unique = {digest(s): s for s in sets if len(s)}
-        keys = [prefix(s, sent.value) for s in unique.values()]
-        classes = np.repeat(np.fromiter(unique, np.int64, len(unique)), [len(k) for k in keys])
-        flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(flat), pa.array(classes)], names=["key", "class"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            texts = text_bytes(batch.column(1))
+            for start, end in by_bytes((len(t or b"") for t in texts), 4 << 20):
+                unique = {d: s for s in shingle_sets(texts[start:end]) if len(s) and (d := digest(s)) not in seen}
+                seen.update(unique)
+                if not unique:
+                    continue
+                keys = [prefix(s, sent.value) for s in unique.values()]
+                each = [len(k) for k in keys]
+                names, sizes = np.fromiter(unique, np.int64, len(unique)), np.array([len(s) for s in unique.values()], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(names, each)), pa.array(np.repeat(sizes, each))], names=["key", "class", "n"])
 
-    return _each_set(docs, "key long, class long", rows)
+    return docs.mapInArrow(run, "key long, class long, n long")
 
 
 def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) that the bound leaves."""
-    named = lambda x: points.select(F.col("class").alias(x), F.col("point").alias(f"p{x}"))
+    named = lambda x: points.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
     both = pairs.join(named("a"), "a").join(named("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for c in ("pa", "pb"))
-                left = may_link(np.minimum(p, q).sum(1), p.sum(1), q.sum(1))
+                left = may_link(bound(points_of(batch.column("pa")), points_of(batch.column("pb"))), batch.column("na").to_numpy(), batch.column("nb").to_numpy())
                 yield batch.select(["a", "b"]).filter(pa.array(left))
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, purpose: str) -> DataFrame:
-    """Pairs of classes with a similarity of 0.8 or more, compared by their whole sets.
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataFrame, purpose: str, block: int = BLOCK // 4) -> DataFrame:
+    """A table of the pairs of classes with a similarity of 0.8 or more, compared by their whole sets.
 
-    ``members`` has (doc_id, class) with one text of each class. Sets are made anew for the classes
-    in question only.
+    ``members`` has (doc_id, class) with one text of each class; sets are made anew for the classes
+    in question only. Pairs are compared in cells: classes near the same leader (``homes``: class,
+    home) are dealt into blocks, and a cell holds the sets of two blocks, so a set travels once for
+    each block that its class meets, not once for each pair.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(members, "class")
-    texts = docs.join(wanted.select("doc_id", "class"), "doc_id").select("class", "text")
+    wanted = settle(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "wanted")
+    placed = wanted.join(homes, "class", "left").select("class", F.coalesce("home", "class").alias("home"))
+    blocks = placed.groupBy("home").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = settle(placed.join(blocks, "home").select("class", F.xxhash64("home", F.pmod(F.xxhash64("class"), F.col("blocks"))).alias("block")), "placed")
+    at = lambda x: placed.select(F.col("class").alias(x), F.col("block").alias(f"block_{x}"))
+    cell = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
+    dealt = settle(pairs.join(at("a"), "a").join(at("b"), "b").select(cell.alias("cell"), "a", "b"), "dealt")
+
+    texts = docs.join(wanted.join(members, "class").select("doc_id", "class"), "doc_id").select("class", "text")
 
     def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "own", "set"])
 
     sets = settle(_each_set(texts, "class long, own long, set binary", rows).where("class = own").drop("own"), purpose)
-    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("class").alias("b"), F.col("set").alias("sb")), "b")
+    held = dealt.select("cell", F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class").select("cell", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    both = held.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("binary").alias("set")))
+    ordered = both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, {}
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                linked.append(100 * same >= 80 * (len(p) + len(q) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
+            found: list[tuple[int, int]] = []
+            for c, a, b, blob in zip(batch.column("cell").to_pylist(), batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("set"), strict=True):
+                if c != now:
+                    now, own = c, {}
+                if b is None:
+                    own[a] = np.frombuffer(blob.as_py(), np.uint64)
+                    continue
+                p, q = own[a], own[b]
+                merged = np.sort(np.concatenate([p, q]), kind="stable")
+                same = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                if 100 * same >= 80 * (len(p) + len(q) - same):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    links = settle(ordered.mapInArrow(run, "a long, b long"), "links")
+    discard(wanted, placed, dealt, sets)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,9 +304,12 @@ def components(links: DataFrame) -> DataFrame:
         taken = labels.join(near, "class", "left").select("class", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("new"))
         jumps = labels.select(F.col("class").alias("new"), F.col("component").alias("further"))
         step = settle(taken.join(jumps, "new", "left").select("class", "old", F.least("new", F.coalesce("further", "new")).alias("component")), "labels")
-        if step.where("old <> component").isEmpty():
-            return step.drop("old")
+        done = step.where("old <> component").isEmpty()
+        discard(labels, *([edges] if done else []))
         labels = step.drop("old")
+        labels.folder = step.folder
+        if done:
+            return labels
 
 
 def remaining_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -269,62 +318,94 @@ def remaining_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, block
     mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
     rows = held.join(mixed, "key").join(points, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     # block i of a key meets every block j of it in the cell (i, j)
-    cells = rows.select("key", "class", "component", "point", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "point")
+    cells = rows.select("key", "class", "component", "n", "point", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "n", "point")
     dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def cell(table: pa.Table) -> pa.RecordBatch:
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        own, classes, comps = (table[c].to_numpy() for c in ("own", "class", "component"))
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint32).reshape(-1, GROUPS)
-        # components are numbered within the cell, as -1 stands for several
-        _, comps = np.unique(comps, return_inverse=True)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        tree, a, b = CountTree(points[right], comps[right]), [], []
-        for at in left:
-            found = right[tree.search(points[at], comps[at])]
-            found = found[classes[found] > classes[at]] if i == j else found
-            a.append(np.full(len(found), classes[at]))
-            b.append(classes[found])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # rows of the last cell, which may go on
         for batch in batches:
             table = pa.Table.from_batches([*rest, batch])
             keys = [table[c].to_numpy() for c in ("key", "i", "j")]
-            cuts = [0, *(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1), len(table)]
-            for x, y in zip(cuts[:-2], cuts[1:-1], strict=True):
-                if y - x > 1:
-                    yield cell(table.slice(x, y - x))
-            rest = table.slice(cuts[-2]).to_batches()
-        if rest and (table := pa.Table.from_batches(rest)).num_rows > 1:
-            yield cell(table)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+            cuts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
+            if cuts[-1]:
+                yield _cells(table.slice(0, cuts[-1]), cuts)
+            rest = table.slice(cuts[-1]).to_batches()
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield _cells(table, np.array([0, len(table)]))
+
+    each = dealt.mapInArrow(run, "a long, b long, met long, needed long")
+    return each.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
+
+
+def _cells(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Pairs of the cells between ``cuts``. Cells of up to two leaves are compared as leaves, all at once; larger ones have a tree."""
+    i, j, own, names, owner, n = (table[c].to_numpy() for c in ("i", "j", "own", "class", "component", "n"))
+    points = points_of(table["point"])
+    size = np.diff(cuts)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    whole = i[cuts[:-1]] == j[cuts[:-1]]
+    for m in range(2, 2 * LEAF + 1):
+        first = cuts[:-1][(size == m) & whole]
+        if len(first):
+            x, y = np.triu_indices(m, 1)
+            found.append(((first[:, None] + x).ravel(), (first[:, None] + y).ravel()))
+    a, b = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    near = (owner[a] != owner[b]) & may_link(np.minimum(n[a], n[b]), n[a], n[b])
+    a, b = a[near], b[near]
+    kept = [may_link(bound(points[a[at : at + 50_000]], points[b[at : at + 50_000]]), n[a[at : at + 50_000]], n[b[at : at + 50_000]]) for at in range(0, len(a), 50_000)]
+    keep = np.concatenate(kept) if kept else np.zeros(0, bool)
+    left, right = [a[keep]], [b[keep]]
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        if end - start > 2 * LEAF or i[start] != j[start]:
+            place = np.arange(start, end)
+            # components are numbered within the cell, as -1 stands for several
+            _, local = np.unique(owner[start:end], return_inverse=True)
+            ones, others = place[own[start:end] == i[start]], place[own[start:end] == j[start]]
+            if not len(others):
+                continue
+            tree = CountTree(points[others], n[others], local[others - start])
+            for at in ones:
+                hits = others[tree.search(points[at], n[at], local[at - start])]
+                hits = hits[hits > at] if i[start] == j[start] else hits
+                left.append(np.full(len(hits), at))
+                right.append(hits)
+    x, y = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
+    pairs = np.stack([np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), needed_keys(np.minimum(n[x], n[y]))], axis=1)
+    unique, met = np.unique(pairs, axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(unique[:, 0]), pa.array(unique[:, 1]), pa.array(met), pa.array(unique[:, 2])], names=["a", "b", "met", "needed"])
 
 
 def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row, components as the smallest doc_id in them."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     each = settle(describe(docs), "sets")
-    classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("point").alias("point"))
+    classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
     classes = settle(classes, "classes")
-    points, members = classes.select("class", "point"), classes.select("class", "doc_id")
+    points, members = classes.select("class", "n", "point"), classes.select("class", "doc_id")
 
-    met = meeting_keys(docs, frequent_shingles(docs, each.count())).distinct()
     by_key = Window.partitionBy("key")
-    keys = met.select("key", "class", F.min("class").over(by_key).alias("a"), F.max("class").over(by_key).alias("z")).where("a <> z").drop("z")
-    keys = settle(keys, "keys")
-
-    tried = settle(bounded_pairs(keys.where("a <> class").select("a", F.col("class").alias("b")).distinct(), points), "tried")
-    links = settle(verified(tried, docs, members, "leader-sets"), "links")
+    met = meeting_keys(docs, frequent_shingles(docs, each.count()))
+    met = met.select("key", "class", "n", F.min("class").over(by_key).alias("lo"), F.max("class").over(by_key).alias("hi")).where("lo <> hi")
+    keys = settle(met.select("key", "class", "n").distinct(), "keys")
+
+    # a text that others are copies of shares more of its keys than they do
+    central = keys.groupBy("class").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("shared"))
+    leader = F.max(F.struct("shared", "class", "n")).over(by_key)
+    led = settle(keys.join(central, "class").select("class", "n", leader.alias("lead")).distinct(), "led")
+    homes = settle(led.groupBy("class").agg(F.max("lead").alias("lead")).select("class", F.col("lead.class").alias("home")), "homes")
+    others = led.where("class <> lead.class").where(sizes_fit(F.col("n"), F.col("lead.n")))
+    pairs = others.select(F.least("class", "lead.class").alias("a"), F.greatest("class", "lead.class").alias("b")).distinct()
+    tried = settle(bounded_pairs(pairs, points), "tried")
+    links = verified(tried, docs, members, homes, "leader-sets")
     labels = components(links)
     left = remaining_pairs(keys.select("key", "class"), labels, points).join(tried, ["a", "b"], "left_anti")
-    more = settle(verified(settle(left, "left"), docs, members, "tree-sets"), "more-links")
+    left = settle(left, "left")
+    more = verified(left, docs, members, homes, "tree-sets")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    discard(keys, led, homes, tried, left, links, more, classes)
 
     # a doc_id with texts of several classes links them
     named = each.join(labels, "class", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("c"))
