@@ -7,8 +7,8 @@ data. Texts are read in overlapping windows; each window is decoded by Viterbi,
 reconciled globally: every character takes its label from the window that holds it most centrally,
 and spans are runs of labels over the whole text, so one may cross any number of windows.
 
-A span of any kind holds a digit or an ``@``. Windows whose own part holds neither can only be
-labelled as outside, and aren't computed.
+A span of any kind holds a digit or an ``@``, so it lies in a window whose own part holds one, or
+runs on from there. Windows with neither are computed only where a run of labels reaches their edge.
 
 Spans of the patterns always stay. A span of the network is added if it overlaps none of them and
 has the digits (or the ``@``) that its kind asks for and no letter or digit right beside it.
@@ -47,6 +47,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _code_tables: list[np.ndarray] = []
+_mark_tables: list[np.ndarray] = []
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -105,6 +106,15 @@ def encode(text: str) -> np.ndarray:
     return _code_tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
+def marked(text: str) -> np.ndarray:
+    """Whether each character is an ``@`` or a digit of any script, as :func:`fits` counts them."""
+    if not _mark_tables:
+        table = np.zeros(0x110000, bool)
+        table[[c for c in range(0x110000) if c == 64 or chr(c).isdigit()]] = True
+        _mark_tables.append(table)
+    return _mark_tables[0][np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -296,25 +306,37 @@ def train(docs: DataFrame, key: str, text: str, texts: int = SAMPLE_TEXTS) -> Ta
 
 
 def added_spans(tagger: Tagger, texts: list[str | None], base: list[list[tuple[int, int, int]]], batch: int = 512) -> list[list[tuple[int, int, int]]]:
-    """Spans of the network that overlap no pattern span, for each text."""
+    """Spans of the network that overlap no pattern span, for each text.
+
+    Starts from the tiles that hold a digit or ``@`` and goes on to the next tile wherever a label
+    other than outside stands at an edge, which gives the spans that computing every tile gives.
+    """
     labels: dict[int, np.ndarray] = {}
     places: list[tuple[int, int]] = []
     coded: dict[int, np.ndarray] = {}
+    known: dict[int, np.ndarray] = {}
     for i, text in enumerate(texts):
-        if text and _TRIGGER.search(text):
+        if text and (marks := marked(text)).any():
             codes = encode(text)
             tiles = -(-len(codes) // CORE)
             padded = np.zeros(tiles * CORE + 2 * MARGIN, np.uint8)
             padded[MARGIN : MARGIN + len(codes)] = codes
             coded[i], labels[i] = padded, np.zeros(tiles * CORE, np.int8)
-            own = padded[MARGIN : MARGIN + tiles * CORE].reshape(tiles, CORE)
-            hit = (((own >= 17) & (own <= 26)) | (own == 33)).any(1)  # codes of 0-9 and @
-            places += [(i, int(tile)) for tile in np.flatnonzero(hit)]
-    for at in range(0, len(places), batch):
-        some = places[at : at + batch]
-        decoded = tagger.decode(np.stack([coded[i][t * CORE : t * CORE + WINDOW] for i, t in some]))
-        for (i, t), row in zip(some, decoded, strict=True):
-            labels[i][t * CORE : (t + 1) * CORE] = row[MARGIN : MARGIN + CORE]
+            known[i] = np.zeros(tiles, bool)
+            known[i][np.flatnonzero(marks) // CORE] = True
+            places += [(i, int(tile)) for tile in np.flatnonzero(known[i])]
+    while places:
+        reached: list[tuple[int, int]] = []
+        for at in range(0, len(places), batch):
+            some = places[at : at + batch]
+            decoded = tagger.decode(np.stack([coded[i][t * CORE : t * CORE + WINDOW] for i, t in some]))
+            for (i, t), row in zip(some, decoded, strict=True):
+                own = labels[i][t * CORE : (t + 1) * CORE] = row[MARGIN : MARGIN + CORE]
+                for edge, near in ((0, t - 1), (-1, t + 1)):
+                    if own[edge] and 0 <= near < len(known[i]) and not known[i][near]:
+                        known[i][near] = True
+                        reached.append((i, near))
+        places = reached
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for i, row in labels.items():
         for start, kind, end in label_runs(row):

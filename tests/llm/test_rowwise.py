@@ -164,6 +164,52 @@ def test_pii_network(spark, docs):
     assert pii.find_personal_data(empty(spark), pii.train(empty(spark), "doc_id", "text")).count() == 0
 
 
+class AtSigns:
+    """Labels words that hold an ``@`` or a run of four other digits, as far as a window shows them."""
+
+    def decode(self, codes):
+        import numpy as np
+
+        out = np.zeros(codes.shape, np.int8)
+        for row, code in enumerate(codes):
+            places = np.flatnonzero((code != 96) & (code != 0))
+            for word in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+                kind = 0 if (code[word] == 33).any() else 3 if (code[word] == 98).any() else None
+                if kind is not None:
+                    out[row, word] = 2 + 2 * kind
+                    out[row, word[0]] = 1 + 2 * kind
+        return out
+
+
+def test_pii_tile_edges():
+    """A span that crosses into a tile without a digit or ``@`` is whole, at every offset; so is one over more tiles."""
+    for offset in range(2 * pii.CORE):
+        for word in ("firstname.lastname@in", "ab@intranethostname"):
+            text = "x" * offset + " " + word + " " + "y" * 80
+            at = offset + 1
+            assert pii.added_spans(AtSigns(), [text], [[]]) == [[(at, 0, at + len(word))]], (offset, word)
+    digits = "".join(chr(0x660 + i % 10) for i in range(10))
+    assert pii.added_spans(AtSigns(), ["call " + digits, None, ""], [[], [], []]) == [[(5, 3, 15)], [], []]
+
+
+def test_pii_same_as_every_tile():
+    import numpy as np
+
+    rng = random.Random(1)
+    plain = [" ".join(rng.choice(["alpha", "Beta", "gamma", "of", "the", "end."]) for _ in range(60)) for _ in range(30)]
+    tagger = pii.Tagger.fresh().fit(*pii.training_windows(plain))
+    texts = ["a few words " * 5 + "z" * offset + " mail firstname.lastname@intranet now " + "and more words " * 12 for offset in range(pii.CORE)]
+    got = pii.added_spans(tagger, texts, [[] for _ in texts])
+    for text, spans in zip(texts, got, strict=True):
+        tiles = -(-len(text) // pii.CORE)
+        padded = np.zeros(tiles * pii.CORE + 2 * pii.MARGIN, np.uint8)
+        padded[pii.MARGIN : pii.MARGIN + len(text)] = pii.encode(text)
+        rows = tagger.decode(np.stack([padded[t * pii.CORE : t * pii.CORE + pii.WINDOW] for t in range(tiles)]))
+        runs = pii.label_runs(rows[:, pii.MARGIN : pii.MARGIN + pii.CORE].ravel())
+        assert spans == [(s, k, e) for s, k, e in runs if pii.fits(k, text[s:e]) and not text[s - 1 : s].isalnum() and not text[e : e + 1].isalnum()]
+    assert sum(any(k == 0 for _, k, _ in spans) for spans in got) > len(texts) // 2
+
+
 def test_pii_gradients():
     import numpy as np
 
