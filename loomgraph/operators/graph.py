@@ -219,21 +219,41 @@ def ancestors(parents: DataFrame, depth: int = 50) -> DataFrame:
     return found
 
 
-def reaches_without(edges: DataFrame, starts: DataFrame, stops: DataFrame, longest: int = 1000) -> DataFrame:
+#: Most nodes of a path of reaches_without; rounds after which the table of what it has seen is made one.
+STRIDE, TOGETHER = 64, 16
+
+
+def reaches_without(edges: DataFrame, starts: DataFrame, stops: DataFrame) -> DataFrame:
     """(origin, node): nodes reached from an origin over directed edges without passing through one of its stops.
 
-    ``starts`` has (origin, node), ``stops`` (origin, node); a stop is reached but not passed.
+    ``starts`` has (origin, node), ``stops`` (origin, node); a stop is reached but not passed. Rounds
+    go on until nothing new is found, at any distance. A round walks a path from each open node: an
+    edge and the nodes after it as long as there is one way on; paths double from round to round, to
+    ``STRIDE`` nodes.
     """
-    step = edges.select("src", "dst")
-    seen = frontier = cut(starts.select(F.col("origin"), F.col("node").alias("src")).join(step, "src").select("origin", F.col("dst").alias("node")).distinct())
-    for _ in range(longest):
-        open_ = frontier.join(stops, ["origin", "node"], "left_anti")
-        found = open_.select("origin", F.col("node").alias("src")).join(step, "src").select("origin", F.col("dst").alias("node")).distinct()
-        frontier = cut(found.join(seen, ["origin", "node"], "left_anti"))
+    step = edges.select("src", "dst").distinct()
+    single = step.groupBy("src").agg((F.count("*") == 1).alias("one"))
+    paths = cut(step.join(single, "src").select("src", "dst", "one", F.array("dst").alias("path")))
+    frontier, seen = starts.select("origin", F.col("node").alias("src")).distinct(), None
+    length, rounds = 1, 0
+    while True:
+        walked = frontier.join(paths, "src").select("origin", "src", "dst", F.size("path").alias("size"), F.posexplode("path").alias("pos", "node"))
+        halts = walked.join(stops.select("origin", "node"), ["origin", "node"]).groupBy("origin", "src", "dst").agg(F.min("pos").alias("halt"))
+        kept = walked.join(halts, ["origin", "src", "dst"], "left").where("halt is null or pos <= halt")
+        found = kept.groupBy("origin", "node").agg(F.bool_or(F.col("halt").isNull() & (F.col("pos") == F.col("size") - 1)).alias("open"))
+        new = cut(found if seen is None else found.join(seen, ["origin", "node"], "left_anti"))
+        frontier = new.where("open").select("origin", F.col("node").alias("src"))
+        rounds += 1
+        seen = new.select("origin", "node") if seen is None else seen.unionByName(new.select("origin", "node"))
         if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+            return seen
+        if rounds % TOGETHER == 0:
+            seen = cut(seen)
+        if length < STRIDE:
+            length *= 2
+            more = paths.where("one").select(F.col("src").alias("last"), F.col("path").alias("more"))
+            longer = paths.withColumn("last", F.element_at("path", -1)).join(more, "last", "left")
+            paths = cut(longer.select("src", "dst", "one", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more")).alias("path")))
 
 
 def load(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:

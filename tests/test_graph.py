@@ -1,5 +1,7 @@
 """Tuple graphs and graph queries on small hand-made inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, programs, quantified, walks
@@ -55,6 +57,37 @@ def test_paths_and_levels(spark):
     assert [r.node for r in graph.bfs_sample(edges, spark.createDataFrame([("a",)], "node string"), 3).orderBy("number").collect()] == ["a", "b", "e"]
 
 
+def plain_reach(edges, starts, stops):
+    after, found = {}, set()
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    for origin, first in starts:
+        todo = set(after.get(first, ()))
+        while todo:
+            node = todo.pop()
+            if (origin, node) not in found:
+                found.add((origin, node))
+                if (origin, node) not in stops:
+                    todo |= after.get(node, set())
+    return found
+
+
+def test_reaches_without(spark):
+    """Cycles, branches, repeated edges and stops, against a plain search; and a chain of more than 1001 events."""
+    rng = random.Random(3)
+    for ways in (1, 2):
+        edges = [(i, rng.randrange(60)) for i in range(60) for _ in range(rng.choice([0, 1, 1, 1, ways]))]
+        edges += [(100 + i, 101 + i) for i in range(40)] + [(140, 3), edges[0]]
+        starts = [(o, rng.choice([o, 100, 120])) for o in range(60)]
+        stops = {(o, rng.randrange(60)) for o in range(0, 60, 2) for _ in range(8)} | {(o, 110 + o % 20) for o in range(0, 60, 3)}
+        got = graph.reaches_without(spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame(starts, "origin int, node int"), spark.createDataFrame(sorted(stops), "origin int, node int")).collect()
+        assert sorted((r.origin, r.node) for r in got) == sorted(plain_reach(edges, starts, stops))
+    n = 1200
+    line = spark.range(n).selectExpr("id as src", "id + 1 as dst")
+    far = graph.reaches_without(line, spark.createDataFrame([(7, 0), (8, 0)], "origin long, node long"), spark.createDataFrame([(8, 1150)], "origin long, node long"))
+    assert {r.origin: r["count"] for r in far.groupBy("origin").count().collect()} == {7: n, 8: 1150}
+
+
 def test_ancestors_and_handlers(spark):
     parents = spark.createDataFrame([(2, 1), (3, 2), (4, 1)], "node int, parent int")
     found = {(r.node, r.ancestor, r.distance) for r in graph.ancestors(parents).collect()}

@@ -37,3 +37,8 @@ def test_same_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_runs(spark, name):
     assert queries.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_reaches_without_same_as_sql(spark, duck):
+    name = "reaches_without_redefinition"
+    assert rows(queries.QUERIES[name](spark, FOLDER).toPandas()) == rows(duck.execute(queries.ORACLE_SQL[name]).df())
