@@ -247,7 +247,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
     """A table of the pairs of classes with a similarity of 0.8 or more, compared by their whole sets.
 
     ``members`` has (doc_id, class) with one text of each class; sets are made anew for the classes
-    in question only. Pairs are compared in cells: classes near the same leader (``homes``: class,
+    in question only, and found by their digests where all texts of a class have null ids. Pairs are compared in cells: classes near the same leader (``homes``: class,
     home) are dealt into blocks, and a cell holds the sets of two blocks, so a set travels once for
     each block that its class meets, not once for each pair.
     """
@@ -264,7 +264,10 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
     def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "own", "set"])
 
-    sets = settle(_each_set(texts, "class long, own long, set binary", rows).where("class = own").drop("own"), purpose)
+    made = _each_set(texts, "class long, own long, set binary", rows).where("class = own").drop("own")
+    nameless = wanted.join(members.where("doc_id is null"), "class", "left_semi")
+    lone = _each_set(docs.where("doc_id is null").select(F.lit(None).cast("long"), "text"), "class long, own long, set binary", rows).select(F.col("own").alias("class"), "set")
+    sets = settle(made.unionByName(lone.join(nameless, "class", "left_semi").dropDuplicates(["class"])), purpose)
     held = dealt.select("cell", F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class").select("cell", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "set")
     both = held.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("binary").alias("set")))
     ordered = both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())

@@ -65,6 +65,16 @@ def test_similar_chains(spark):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == plain_components(rows)
 
 
+def test_similar_without_ids(spark):
+    """Near copies whose rows all have a null doc_id, of each other and of a named document."""
+    rng = random.Random(8)
+    base, other = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+    changed = lambda words, at: " ".join([*words[:at], "changed", *words[at + 1 :]])
+    rows = [(5, " ".join(base)), (None, changed(base, 30)), (None, changed(base, 30)), (4, changed(base, 50)), (None, " ".join(other)), (None, changed(other, 20)), (9, "some words of no other text")]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == plain_components(rows)
+
+
 def test_count_tree():
     import numpy as np
 
