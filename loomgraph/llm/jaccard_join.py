@@ -266,8 +266,10 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
 
     made = _each_set(texts, "class long, own long, set binary", rows).where("class = own").drop("own")
     nameless = wanted.join(members.where("doc_id is null"), "class", "left_semi")
-    lone = _each_set(docs.where("doc_id is null").select(F.lit(None).cast("long"), "text"), "class long, own long, set binary", rows).select(F.col("own").alias("class"), "set")
-    sets = settle(made.unionByName(lone.join(nameless, "class", "left_semi").dropDuplicates(["class"])), purpose)
+    if not nameless.isEmpty():
+        lone = _each_set(docs.where("doc_id is null").select(F.lit(None).cast("long"), "text"), "class long, own long, set binary", rows).select(F.col("own").alias("class"), "set")
+        made = made.unionByName(lone.join(nameless, "class", "left_semi").dropDuplicates(["class"]))
+    sets = settle(made, purpose)
     held = dealt.select("cell", F.explode(F.array("a", "b")).alias("class")).distinct().join(sets, "class").select("cell", F.col("class").alias("a"), F.lit(None).cast("long").alias("b"), "set")
     both = held.unionByName(dealt.select("cell", "a", "b", F.lit(None).cast("binary").alias("set")))
     ordered = both.repartition("cell").sortWithinPartitions("cell", F.col("b").asc_nulls_first())
