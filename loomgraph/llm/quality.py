@@ -12,6 +12,8 @@ named like a new one gives way to it.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,32 +58,50 @@ def repeated_words(words: Column, window: int = 8) -> Column:
 
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(ordered, total)).otherwise(0)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (window - 1)), lambda i: F.xxhash64(F.slice(words, i, window)))
+    # single elements are read in place; a slice would copy the whole array for each window
+    of_words = F.transform(words, lambda w: F.xxhash64(w))
+    hashes = _let(of_words, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(window)])))
     return F.when(F.size(words) > window, _let(hashes, marked)).otherwise(0).cast("long")
 
 
 def rule_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add MEASURES and failed_bits to ``docs``."""
-    kept = [c for c in docs.columns if c not in {*MEASURES, "failed_bits"}]
+    """Add MEASURES and failed_bits to ``docs``.
+
+    Everything is measured inside one expression, where words and lines are bound to variables: a
+    filter that the optimizer moves below this projection still splits a text once.
+    """
+    kept = [c for c in docs.columns if c not in {*MEASURES, "failed_bits", "__ledger"}]
+    white = F.lit(" \t\n\x0b\x0c\r")
+
+    def words_of(body: Column) -> Column:
+        bare = F.btrim(body, white)
+        return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
+
+    def lines_of(body: Column) -> Column:
+        return F.filter(F.split(body, "\n"), lambda x: F.btrim(x, white) != "")
+
+    def measured(parts: Column) -> Column:
+        body, words, lines = parts.body, parts.words, parts.lines
+        values = {
+            "n_words": F.size(words),
+            "word_chars": F.length(F.array_join(words, "")),
+            "n_symbols": F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", "")),
+            "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+            "n_repeat_words": repeated_words(words),
+            "n_lines": F.size(lines),
+            "n_letters": F.length(F.regexp_replace(body, r"\P{L}+", "")),
+            "n_upper": F.length(F.regexp_replace(body, r"\P{Lu}+", "")),
+            "n_stutter": F.size(F.filter(words, lambda w, i: F.coalesce(F.get(words, i - 1) == w, F.lit(False)))),
+        }
+        return F.struct(*[value.cast("long").alias(name) for name, value in values.items()])
+
     body = F.coalesce(F.col(text), F.lit(""))
-    bare = F.btrim(body, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    df = docs.select(*kept, words.alias("__words"), lines.alias("__lines"), body.alias("__body"))
-    df = df.select(
-        *kept,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        (F.length("__body") - F.length(F.regexp_replace("__body", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("__words")).alias("n_repeat_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        F.length(F.regexp_replace("__body", r"\P{L}+", "")).cast("long").alias("n_letters"),
-        F.length(F.regexp_replace("__body", r"\P{Lu}+", "")).cast("long").alias("n_upper"),
-        F.size(F.filter("__words", lambda w, i: F.coalesce(F.get("__words", i - 1) == w, F.lit(False)))).cast("long").alias("n_stutter"),
-    )
-    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(RULES.values()))
-    return df.withColumn("failed_bits", F.expr(bits))
+    measures = _let(body, lambda b: _let(F.struct(b.alias("body"), words_of(b).alias("words"), lines_of(b).alias("lines")), measured))
+    rules = [re.sub(rf"\b({'|'.join(MEASURES)})\b", r"m.\1", rule) for rule in RULES.values()]
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i}L ELSE 0L END" for i, rule in enumerate(rules))
+    fields = ", ".join(f"'{name}', m.{name}" for name in MEASURES)
+    judged = F.expr(f"transform(array(__ledger), m -> named_struct({fields}, 'failed_bits', {bits}))[0]")
+    return docs.select(*kept, measures.alias("__ledger")).select(*kept, judged.alias("__ledger")).select(*kept, "__ledger.*")
 
 
 def apply_policy(ledger: DataFrame, policy: str = "v1", name: str = "kept") -> DataFrame:
