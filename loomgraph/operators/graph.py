@@ -8,19 +8,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.joinspec import Link, key_columns
+from loomgraph.tables import settle
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder (a local one where none is configured)."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/loomgraph")
-    return df.checkpoint()
+    """Cut the lineage with a table in the shared folder, written once."""
+    return settle(df, "graph")
 
 
 def node_label(rel: str, key: Column) -> Column:
@@ -119,7 +116,8 @@ def bfs_levels(edges: DataFrame, start: DataFrame, depth: int | None = None, eno
 
     Rounds end when nothing new is found, at ``depth``, or once ``enough`` nodes are reached.
     """
-    steps = both_ways(edges.select("src", "dst")).distinct().persist(StorageLevel.DISK_ONLY)
+    steps = both_ways(edges.select("src", "dst")).distinct()
+    steps = cut(steps)
     seen = frontier = cut(start.select("node").distinct().withColumn("level", F.lit(0)))
     level, reached = 0, seen.count()
     while (depth is None or level < depth) and (enough is None or reached < enough):
@@ -135,14 +133,14 @@ def bfs_levels(edges: DataFrame, start: DataFrame, depth: int | None = None, eno
 
 
 def bfs_sample(edges: DataFrame, start: DataFrame, size: int) -> DataFrame:
-    """(node, level, number): the first ``size`` nodes by level and node, numbered from 1."""
+    """(node, level, number): the first ``size`` nodes by level and node, numbered from 1 (in one task, as ``size`` bounds them)."""
     levels = bfs_levels(edges, start, enough=size)
     first = levels.orderBy("level", "node").limit(size)
     return first.withColumn("number", F.row_number().over(Window.orderBy("level", "node")))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 20) -> DataFrame:
-    """(length, path): one shortest path between two nodes, the smallest by node order; empty if there is none.
+def shortest_path(edges: DataFrame, source: str, target: str, longest: int | None = None) -> DataFrame:
+    """(length, path): one shortest path between two nodes, the smallest by node order; empty if there is none (of at most ``longest`` steps, where given).
 
     Searched from the target, level by level; the path then takes the smallest neighbour one level
     nearer at each step.
@@ -155,7 +153,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 20)
     level = 0
     while seen.where(F.col("node") == source).isEmpty():
         level += 1
-        if level > longest:
+        if longest is not None and level > longest:
             return spark.createDataFrame([], "length int, path array<string>")
         found = frontier.select(F.col("node").alias("src")).join(steps, "src").select(F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
@@ -207,11 +205,13 @@ def running_offsets(df: DataFrame, order: str, size: str, name: str = "offset")
     return ranged.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")
 
 
-def ancestors(parents: DataFrame, depth: int = 50) -> DataFrame:
-    """(node, ancestor, distance) closure of (node, parent), by doubling-free rounds until nothing is added."""
+def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, ancestor, distance) closure of (node, parent), by rounds until nothing is added, or up to ``depth``."""
     step = parents.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
     found = frontier = cut(parents.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")))
-    for distance in range(2, depth + 1):
+    distance = 1
+    while depth is None or distance < depth:
+        distance += 1
         frontier = cut(frontier.join(step, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(distance).alias("distance")))
         if frontier.isEmpty():
             break

@@ -118,7 +118,7 @@ def leaf_paths(paths_up: DataFrame, longest: int, seed: str = "0") -> DataFrame:
 def subtree(children: DataFrame, depth: int | None = None) -> DataFrame:
     """(graph_id, root, node, distance) of all nodes below each node, at most ``depth`` levels down."""
     keyed = children.select(F.struct("graph_id", "node").alias("node"), F.struct("graph_id", "parent").alias("parent"))
-    found = ancestors(keyed, depth or 1000).where(F.lit(depth is None) | (F.col("distance") <= (depth or 0)))
+    found = ancestors(keyed, depth)
     return found.select(F.col("node.graph_id").alias("graph_id"), F.col("ancestor.parent").alias("root"), F.col("node.node").alias("node"), "distance")
 
 
