@@ -30,13 +30,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_bytes, discard, settle, text_bytes
+from loomgraph.llm.common import by_bytes, text_bytes, with_columns
+from loomgraph.tables import discard, settle
 
 SHINGLE = 5
 #: Coordinates of a point and their ceiling; points in a leaf of a tree; classes in one block of a hot key.
 GROUPS, CEILING = 96, 65535
 LEAF, BLOCK = 32, 2000
+#: Keys of at most so many classes are not searched but give their pairs as they are.
+FEW = 8
 #: Sample that tells frequent shingles: texts, texts it takes to be frequent, and most shingles kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 
@@ -202,7 +206,7 @@ def describe(docs: DataFrame) -> DataFrame:
 def frequent_shingles(docs: DataFrame, count: int) -> np.ndarray:
     """Shingles of many texts of a bounded sample, sorted; at most MOST_FREQUENT reach the driver."""
     share = min(1 << 20, (SAMPLE << 20) // max(1, count) + 1)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)
     each = _each_set(sample, "s long", lambda ids, sets: pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"]))
     top = each.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toArrow()
     return np.sort(top["s"].to_numpy().view(np.uint64))
@@ -317,73 +321,126 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def remaining_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of classes of different components that meet at a key and that the trees leave."""
-    held = keys.join(labels, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    rows = held.join(mixed, "key").join(points, "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    # block i of a key meets every block j of it in the cell (i, j)
-    cells = rows.select("key", "class", "component", "n", "point", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component", "n", "point")
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+def remaining_pairs(keys: DataFrame, labels: DataFrame, points: DataFrame, block: int = BLOCK, few: int = FEW) -> DataFrame:
+    """Pairs of classes of different components that meet at the keys they need and that the bound leaves.
+
+    ``keys`` has (key, class, n). Keys of at most ``few`` classes give their pairs as they are, which
+    is at most ``few / 2`` for a row; larger keys are searched with trees. Meetings are summed over both.
+    """
+    held = keys.join(labels, "class", "left").select("key", "class", "n", F.coalesce("component", "class").alias("component"))
+    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min("class").alias("first")).where("lo <> hi").select("key", "size", "first")
+    rows = settle(held.join(mixed, "key"), "meetings")
+
+    small = rows.where(F.col("size") <= few).select("key", "class", "component", "n")
+    near = small.repartition("key").sortWithinPartitions("key", "class").mapInArrow(_by_cells(["key"], _neighbours, few), PAIRS)
+    large = rows.where(F.col("size") > few).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    large = large.join(points.drop("n"), "class").withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    # block i of a key meets every block j of it in the cell (i, j); keys of one group of texts mostly
+    # have the same first class, and meetings of their cells are summed where they are found
+    cells = large.select("key", "first", "class", "component", "n", "point", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("first", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "own", "class", "component", "n", "point")
+    dealt = cells.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "key")
+    far = dealt.mapInArrow(_by_cells(["first", "i", "j", "key"], _searched, 25 * block), PAIRS)
+
+    each = near.unionByName(far).groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("needed").alias("needed"))
+    out = settle(bounded_pairs(each.where("met >= needed").select("a", "b"), points), "left")
+    discard(rows)
+    return out
+
+
+PAIRS = "a long, b long, met long, needed long"
+
+
+def _by_cells(names: list[str], work, rows: int):
+    """``work(table, cuts)`` on runs of whole cells (rows equal in ``names``) of about ``rows`` rows or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # rows of the last cell, which may go on
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([*rest, batch])
-            keys = [table[c].to_numpy() for c in ("key", "i", "j")]
-            cuts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
-            if cuts[-1]:
-                yield _cells(table.slice(0, cuts[-1]), cuts)
-            rest = table.slice(cuts[-1]).to_batches()
-        if rest:
-            table = pa.Table.from_batches(rest)
-            yield _cells(table, np.array([0, len(table)]))
-
-    each = dealt.mapInArrow(run, "a long, b long, met long, needed long")
-    return each.groupBy("a", "b").agg(F.sum("met").alias("met"), F.first("needed").alias("needed")).where("met >= needed").select("a", "b")
-
-
-def _cells(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-    """Pairs of the cells between ``cuts``. Cells of up to two leaves are compared as leaves, all at once; larger ones have a tree."""
-    i, j, own, names, owner, n = (table[c].to_numpy() for c in ("i", "j", "own", "class", "component", "n"))
-    points = points_of(table["point"])
-    size = np.diff(cuts)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    whole = i[cuts[:-1]] == j[cuts[:-1]]
-    for m in range(2, 2 * LEAF + 1):
-        first = cuts[:-1][(size == m) & whole]
-        if len(first):
-            x, y = np.triu_indices(m, 1)
-            found.append(((first[:, None] + x).ravel(), (first[:, None] + y).ravel()))
-    a, b = (np.concatenate(side) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    near = (owner[a] != owner[b]) & may_link(np.minimum(n[a], n[b]), n[a], n[b])
-    a, b = a[near], b[near]
-    kept = [may_link(bound(points[a[at : at + 50_000]], points[b[at : at + 50_000]]), n[a[at : at + 50_000]], n[b[at : at + 50_000]]) for at in range(0, len(a), 50_000)]
-    keep = np.concatenate(kept) if kept else np.zeros(0, bool)
-    left, right = [a[keep]], [b[keep]]
-    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-        if end - start > 2 * LEAF or i[start] != j[start]:
-            place = np.arange(start, end)
-            # components are numbered within the cell, as -1 stands for several
-            _, local = np.unique(owner[start:end], return_inverse=True)
-            ones, others = place[own[start:end] == i[start]], place[own[start:end] == j[start]]
-            if not len(others):
+            held.append(batch)
+            if sum(b.num_rows for b in held) < rows:
                 continue
-            tree = CountTree(points[others], n[others], local[others - start])
-            for at in ones:
-                hits = others[tree.search(points[at], n[at], local[at - start])]
-                hits = hits[hits > at] if i[start] == j[start] else hits
-                left.append(np.full(len(hits), at))
-                right.append(hits)
-    x, y = np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64)
-    pairs = np.stack([np.minimum(names[x], names[y]), np.maximum(names[x], names[y]), needed_keys(np.minimum(n[x], n[y]))], axis=1)
-    unique, met = np.unique(pairs, axis=0, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(unique[:, 0]), pa.array(unique[:, 1]), pa.array(met), pa.array(unique[:, 2])], names=["a", "b", "met", "needed"])
-
-
-def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row, components as the smallest doc_id in them."""
+            table = pa.Table.from_batches(held).combine_chunks()
+            cuts = _cuts(table, names)
+            if len(cuts) > 2:
+                yield work(table.slice(0, cuts[-2]), cuts[:-1])
+                held = table.slice(cuts[-2]).to_batches()
+        if held and (table := pa.Table.from_batches(held).combine_chunks()).num_rows:
+            yield work(table, _cuts(table, names))
+
+    return run
+
+
+def _cuts(table: pa.Table, names: list[str]) -> np.ndarray:
+    """Where runs of rows equal in ``names`` begin, and the end."""
+    differs = np.logical_or.reduce([(c := table[name].to_numpy())[1:] != c[:-1] for name in names])
+    return np.concatenate([[0], np.flatnonzero(differs) + 1, [len(table)]])
+
+
+def _counted(a: np.ndarray, b: np.ndarray, met: np.ndarray, needed: np.ndarray) -> pa.RecordBatch:
+    """Meetings summed for each pair, the smaller class first."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((high, low))
+    low, high, met, needed = low[order], high[order], met[order], needed[order]
+    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, np.int64)
+    total = np.add.reduceat(met, first) if len(first) else met
+    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (low[first], high[first], total, needed[first])], names=["a", "b", "met", "needed"])
+
+
+def _neighbours(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """All pairs of different components and fitting sizes within each (small) cell."""
+    names, owner, n = (table[c].to_numpy() for c in ("class", "component", "n"))
+    cell = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    left, right = [], []
+    for step in range(1, int(np.diff(cuts).max(initial=1))):
+        x, y = np.arange(len(names) - step), np.arange(step, len(names))
+        good = (cell[x] == cell[y]) & (owner[x] != owner[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+        left.append(x[good])
+        right.append(y[good])
+    x, y = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+    return _counted(names[x], names[y], np.ones(len(x), np.int64), needed_keys(np.minimum(n[x], n[y])))
+
+
+def _searched(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Pairs of cells by trees: cells (keys) of the same first class and blocks are one group, whose classes are searched once."""
+    i, j, own, names, owner, n = (table[c].to_numpy() for c in ("i", "j", "own", "class", "component", "n"))
+    points = points_of(table["point"].combine_chunks())
+    groups = _cuts(table, ["first", "i", "j"])
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]
+    for start, end in zip(groups[:-1], groups[1:], strict=True):
+        inside = cuts[(cuts >= start) & (cuts < end)]
+        key = np.repeat(np.arange(len(inside)), np.diff(inside, append=end))
+        label, first, at = np.unique(names[start:end], return_index=True, return_inverse=True)
+        first = first + start
+        # components are numbered within the group, as -1 stands for several
+        _, local = np.unique(owner[first], return_inverse=True)
+        one, two = own[first] == i[start], own[first] == j[start]
+        if not one.any() or not two.any() or local.max(initial=0) == 0:
+            continue
+        others = np.flatnonzero(two)
+        tree = CountTree(points[first[others]], n[first[others]], local[others])
+        hits = [others[tree.search(points[first[x]], n[first[x]], local[x])] for x in np.flatnonzero(one)]
+        x, y = np.repeat(np.flatnonzero(one), [len(h) for h in hits]), np.concatenate(hits)
+        if i[start] == j[start]:
+            x, y = x[y > x], y[y > x]
+        met = np.zeros(len(x), np.int64)
+        for part in range(0, len(inside), 512):
+            chosen = (key >= part) & (key < part + 512)
+            held = np.zeros((len(label), min(512, len(inside) - part)), np.float32)
+            held[at[chosen], key[chosen] - part] = 1
+            for some in range(0, len(x), 1 << 14):
+                met[some : some + (1 << 14)] += np.einsum("pk,pk->p", held[x[some : some + (1 << 14)]], held[y[some : some + (1 << 14)]]).astype(np.int64)
+        x, y, met = x[met > 0], y[met > 0], met[met > 0]
+        found.append((label[x], label[y], met, needed_keys(np.minimum(n[first[x]], n[first[y]]))))
+    return _counted(*(np.concatenate(column) for column in zip(*found, strict=True)))
+
+
+def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", classes_too: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row, components as the smallest doc_id in them.
+
+    With ``classes_too`` also ``class``, the name of the text's set (see :func:`with_class`), and
+    ``group``, one class that names the component; both are null for empty sets.
+    """
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     each = settle(describe(docs), "sets")
     classes = each.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("point").alias("point"))
@@ -405,14 +462,29 @@ def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     tried = settle(bounded_pairs(pairs, points), "tried")
     links = verified(tried, docs, members, homes, "leader-sets")
     labels = components(links)
-    left = remaining_pairs(keys.select("key", "class"), labels, points).join(tried, ["a", "b"], "left_anti")
-    left = settle(left, "left")
+    met = remaining_pairs(keys, labels, points)
+    left = settle(met.join(tried, ["a", "b"], "left_anti"), "left")
+    discard(met)
     more = verified(left, docs, members, homes, "tree-sets")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    discard(keys, led, homes, tried, left, links, more, classes)
-
     # a doc_id with texts of several classes links them
-    named = each.join(labels, "class", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("c"))
-    smallest = named.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = each.where("n > 0 and doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("doc_id", "a")
+    same = settle(named.join(several, "doc_id").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "same")
+    if not (more.isEmpty() and same.isEmpty()):
+        labels = components(links.unionByName(more).unionByName(same))
+    discard(keys, led, homes, tried, left, links, more, same, classes)
+
+    named = each.join(labels, "class", "left").select("doc_id", "n", "class", F.when(F.col("n") > 0, F.coalesce("component", "class")).alias("group"))
+    smallest = named.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    extra = [F.when(F.col("n") > 0, F.col("class")).alias("class"), "group"] if classes_too else []
+    return named.join(smallest, "group", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *extra)
+
+
+def with_class(documents: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the name of each text's set, null for an empty one."""
+
+    def work(texts: list[bytes | None]) -> list[list]:
+        sets = shingle_sets(texts)
+        return [[digest(s) if len(s) else None for s in sets]]
+
+    return with_columns(documents, text, [(name, T.LongType())], work, as_bytes=True)

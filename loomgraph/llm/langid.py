@@ -121,8 +121,8 @@ class GramFilter:
 
 
 def train(labelled: DataFrame, key: str, text: str, label: str, per_language: int = PER_LANGUAGE, most: int = GRAMS) -> GramFilter:
-    """Fit a filter on rows with a label; ``key`` only decides the hash sample."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("h"))
+    """Fit a filter on rows with a label; ``key`` and text only decide the hash sample."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key, text), F.lit(1 << 20)).alias("h"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return GramFilter.build({})

@@ -301,7 +301,8 @@ def training_windows(texts: list[str], windows: int = SAMPLE_WINDOWS, seed: int
 def train(docs: DataFrame, key: str, text: str, texts: int = SAMPLE_TEXTS) -> Tagger:
     """Fit on a hash sample of about ``texts`` texts, at most four times as many, and at most 20,000 characters of each."""
     share = max(1, min(1 << 20, (texts << 20) // max(1, docs.count()) + 1))
-    rows = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.substring(text, 1, 20000).alias("t")).limit(4 * texts).collect()
+    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 20))
+    rows = docs.where(place < share).select(F.substring(text, 1, 20000).alias("t"), place.alias("place")).orderBy("place", "t").limit(4 * texts).collect()
     return Tagger.fresh().fit(*training_windows(sorted(r.t for r in rows if r.t)))
 
 

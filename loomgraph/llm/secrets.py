@@ -52,7 +52,7 @@ def labelled_samples(docs: DataFrame, key: str, text: str, texts: int = SAMPLE_T
     """(sample, is_random): digests in two alphabets, and identifiers joined from neighbouring words of a hash sample of texts."""
     spark = docs.sparkSession
     share = max(1, min(1 << 20, (texts << 20) // max(1, docs.count()) + 1))
-    words = docs.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < share).select(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w"))
+    words = docs.where(F.pmod(F.xxhash64(key, text), F.lit(1 << 20)) < share).select(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "[^A-Za-z]+"), lambda w: F.length(w) >= 3).alias("w"))
 
     def joined(w: Column) -> Column:
         number = lambda i: F.pmod(F.xxhash64(w[i], w[i + 1]), F.lit(100)).cast("string")

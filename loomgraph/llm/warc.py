@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import shared_folder
+from loomgraph.tables import shared_folder
 
 REVISIT_FROM = 1000
 #: Records in one archive file, so that a reader's task stays small.

@@ -100,10 +100,49 @@ def test_hot_keys_in_blocks(spark):
         rows.append((i, " ".join(mine)))
     each = jaccard_join.describe(spark.createDataFrame(rows, "doc_id long, text string"))
     points = each.select("class", "n", "point").dropDuplicates(["class"])
-    keys = points.select(F.lit(1).cast("long").alias("key"), "class")
+    keys = points.select(F.lit(1).cast("long").alias("key"), "class", "n")
     none = spark.createDataFrame([], "class long, component long")
     whole = {(r.a, r.b) for r in jaccard_join.remaining_pairs(keys, none, points).collect()}
     assert whole == {(r.a, r.b) for r in jaccard_join.remaining_pairs(keys, none, points, block=20).collect()} and whole
+    assert whole == {(r.a, r.b) for r in jaccard_join.remaining_pairs(keys, none, points, few=200).collect()}
+
+
+def test_similar_with_shared_ids(spark):
+    """Rows of one doc_id are linked with each other, whatever their texts."""
+    rng = random.Random(18)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(50)] for _ in range(2))
+    rows = [(3, " ".join(one)), (7, " ".join([*one, "more"])), (7, " ".join(two)), (9, " ".join(two[1:])), (8, "nothing like the others at all")]
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (7, 3), (7, 3), (8, 8), (9, 3)]
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """600 near copies of one text, a third too far from it and from each other to be linked: right classes, and no more pairs compared than the bound leaves."""
+    rng = random.Random(28)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(600):
+        mine = list(base)
+        for at in rng.sample(range(200), 12 if i % 3 == 0 else 2):
+            mine[at] = f"v{rng.randrange(10**9)}"
+        rows.append((i, " ".join(mine)))
+    compared = []
+    verified = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *more: compared.append(pairs.count()) or verified(pairs, *more))
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == plain_components(rows)
+    assert sum(compared) < 600 * 599 / 2 / 4
+
+
+def test_one_of_each_group_stays(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, one), (1, one + " z"), (1, one + " y"), (None, one), (None, two), (None, two + " q"), (4, three), (4, "z " + three), (5, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    for parts in (1, 7):
+        kept = corpus_pipeline.near_duplicates(spark, docs.repartition(parts), "").collect()
+        assert sorted(((r.doc_id or 0), r.text or "") for r in kept) == sorted([(1, one + " y"), (0, two), (4, three), (5, ""), (6, ""), (0, "")])
 
 
 def plain_removal(rows, size=50):
