@@ -2,8 +2,7 @@
 
 Every stage but the last returns the columns of ``documents``. Stages judge rows, not ids: rows with
 a null doc_id and repeated rows pass through each stage like all others, except that the duplicate
-stage keeps one row of each doc_id that it keeps (a row with a null doc_id stays unless it is a copy
-of another document).
+stage keeps one row of each doc_id that it keeps, by a rule that no partitioning changes.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontam, jaccard_join, pii, quality
-from loomgraph.llm.common import drop_folder, shared_folder
 from loomgraph.llm.queries import WORD_BPE
+from loomgraph.tables import drop_folder, settle, shared_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +25,22 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of similar ones: that with the smallest doc_id."""
-    found = jaccard_join.similar_documents(docs)
+    """Keep one document of each group of similar ones: that with the smallest doc_id.
+
+    Of several rows with that doc_id the one with the smallest text stays, then the one with the
+    smallest hash. A row without doc_id goes if a document with one is in its group; in a group
+    of such rows alone, one stays by the same rule. Rows without words all stay, one for each doc_id.
+    """
+    order = F.struct("text", F.xxhash64(*[c for c in docs.columns if c != "text"]))
+    row = F.struct(*docs.columns).alias("__row")
+    found = settle(jaccard_join.similar_documents(docs, classes_too=True), "similar")
     stay = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = docs.where(F.col("doc_id").isNull())
-    return named.select(docs.columns).unionByName(lone)
+    named = docs.join(stay, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    lone = jaccard_join.with_class(docs.where(F.col("doc_id").isNull()), "text", "__class")
+    groups = found.where("class is not null").groupBy("class").agg(F.first("group").alias("__group"), F.first("component_id").alias("__owner"))
+    lone = lone.join(groups.withColumnRenamed("class", "__class"), "__class", "left").where("__owner is null")
+    copies = lone.where("__group is not null").groupBy("__group").agg(F.min_by(row, order).alias("__row")).select("__row.*")
+    return named.unionByName(copies).unionByName(lone.where("__group is null").select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
