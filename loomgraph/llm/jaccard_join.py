@@ -41,6 +41,8 @@ GROUPS, CEILING = 96, 65535
 LEAF, BLOCK = 32, 2000
 #: Keys of at most so many classes are not searched but give their pairs as they are.
 FEW = 8
+#: Bits of the bitmap that selects texts (8 MB).
+FILTER_BITS = 1 << 26
 #: Sample that tells frequent shingles: texts, texts it takes to be frequent, and most shingles kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 
@@ -233,6 +235,27 @@ def meeting_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "key long, class long, n long")
 
 
+def among(docs: DataFrame, chosen: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be one of ``chosen``: a bitmap of id hashes drops most others before texts travel.
+
+    The bitmap has a fixed size; with more ids it lets more rows through, and the join that follows decides.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    one = F.expr("shiftleft(1L, cast(h % 64 as int))")
+    words = chosen.where("doc_id is not null").select(place().alias("h")).groupBy(F.floor(F.col("h") / 64).cast("int").alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(bits // 64, np.uint64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            hit = (sent.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.select([0, 1]).filter(pa.array(hit.astype(bool)))
+
+    return docs.select("doc_id", "text", place().alias("h")).mapInArrow(run, docs.schema)
+
+
 def bounded_pairs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) that the bound leaves."""
     named = lambda x: points.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
@@ -263,7 +286,8 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
     cell = F.xxhash64(F.least("block_a", "block_b"), F.greatest("block_a", "block_b"))
     dealt = settle(pairs.join(at("a"), "a").join(at("b"), "b").select(cell.alias("cell"), "a", "b"), "dealt")
 
-    texts = docs.join(wanted.join(members, "class").select("doc_id", "class"), "doc_id").select("class", "text")
+    chosen = settle(wanted.join(members, "class").select("doc_id", "class"), "chosen")
+    texts = among(docs, chosen).join(chosen, "doc_id").select("class", "text")
 
     def rows(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([ids, pa.array([digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "own", "set"])
@@ -296,7 +320,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
     links = settle(ordered.mapInArrow(run, "a long, b long"), "links")
-    discard(wanted, placed, dealt, sets)
+    discard(wanted, placed, dealt, chosen, sets)
     return links
 
 
@@ -455,9 +479,11 @@ def similar_documents(documents: DataFrame, doc_id: str = "doc_id", text: str =
     # a text that others are copies of shares more of its keys than they do
     central = keys.groupBy("class").agg((F.count("*") / F.greatest(F.first("n"), F.lit(1))).alias("shared"))
     leader = F.max(F.struct("shared", "class", "n")).over(by_key)
-    led = settle(keys.join(central, "class").select("class", "n", leader.alias("lead")).distinct(), "led")
+    led = settle(keys.join(central, "class").select("class", "n", leader.alias("lead")).groupBy("class", "n", "lead").agg(F.count("*").alias("met")), "led")
     homes = settle(led.groupBy("class").agg(F.max("lead").alias("lead")).select("class", F.col("lead.class").alias("home")), "homes")
-    others = led.where("class <> lead.class").where(sizes_fit(F.col("n"), F.col("lead.n")))
+    # a pair that meets its leader less often than it must is left to the trees, where all its keys count
+    needed = F.floor(F.least("n", "lead.n") / 40) + 1
+    others = led.where("class <> lead.class").where(sizes_fit(F.col("n"), F.col("lead.n")) & (F.col("met") >= needed))
     pairs = others.select(F.least("class", "lead.class").alias("a"), F.greatest("class", "lead.class").alias("b")).distinct()
     tried = settle(bounded_pairs(pairs, points), "tried")
     links = verified(tried, docs, members, homes, "leader-sets")
