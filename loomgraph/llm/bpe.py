@@ -229,7 +229,7 @@ def encoder(path: str) -> TrieBpe:
     return _encoders[path]
 
 
-def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 23) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 21) -> DataFrame:
     """Add n_tokens and, with ``digests``, ids_sha256 and decoded_sha256; else ids (array) and decoded (string)."""
     fields = [("n_tokens", T.LongType())]
     fields += [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -10,6 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system; workers outlive tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with :func:`release` before and after a partition."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, None for nulls."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -65,7 +85,7 @@ def with_columns(
                 out = out.filter(pa.array(keep(dict(zip([n for n, _ in fields], made, strict=True))), pa.bool_()))
             yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def _arrow(kind: T.DataType) -> pa.DataType:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.llm.common import by_bytes, text_bytes, with_columns
+from loomgraph.llm.common import by_bytes, text_bytes, trimmed, with_columns
 from loomgraph.tables import discard, settle
 
 SHINGLE = 5
@@ -43,6 +43,8 @@ LEAF, BLOCK = 32, 2000
 FEW = 8
 #: Bits of the bitmap that selects texts (8 MB).
 FILTER_BITS = 1 << 26
+#: Bytes of texts whose sets are made at once.
+TEXT_BYTES = 1 << 20
 #: Sample that tells frequent shingles: texts, texts it takes to be frequent, and most shingles kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 8, 100_000
 
@@ -184,15 +186,15 @@ class CountTree:
 
 
 def _each_set(docs: DataFrame, columns: str, rows) -> DataFrame:
-    """``rows(ids, sets)`` yields a record batch for the texts of (id, text) in about 4 MB."""
+    """``rows(ids, sets)`` yields a record batch for the texts of (id, text) in about TEXT_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            for start, end in by_bytes((len(t or b"") for t in texts), 4 << 20):
+            for start, end in by_bytes((len(t or b"") for t in texts), TEXT_BYTES):
                 yield rows(batch.column(0).slice(start, end - start), shingle_sets(texts[start:end]))
 
-    return docs.mapInArrow(run, columns)
+    return docs.mapInArrow(trimmed(run), columns)
 
 
 def describe(docs: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def meeting_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             texts = text_bytes(batch.column(1))
-            for start, end in by_bytes((len(t or b"") for t in texts), 4 << 20):
+            for start, end in by_bytes((len(t or b"") for t in texts), TEXT_BYTES):
                 unique = {d: s for s in shingle_sets(texts[start:end]) if len(s) and (d := digest(s)) not in seen}
                 seen.update(unique)
                 if not unique:
@@ -232,7 +234,7 @@ def meeting_keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 names, sizes = np.fromiter(unique, np.int64, len(unique)), np.array([len(s) for s in unique.values()], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(names, each)), pa.array(np.repeat(sizes, each))], names=["key", "class", "n"])
 
-    return docs.mapInArrow(run, "key long, class long, n long")
+    return docs.mapInArrow(trimmed(run), "key long, class long, n long")
 
 
 def among(docs: DataFrame, chosen: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -319,7 +321,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, homes: DataF
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    links = settle(ordered.mapInArrow(run, "a long, b long"), "links")
+    links = settle(ordered.mapInArrow(trimmed(run), "a long, b long"), "links")
     discard(wanted, placed, dealt, chosen, sets)
     return links
 
@@ -392,7 +394,7 @@ def _by_cells(names: list[str], work, rows: int):
         if held and (table := pa.Table.from_batches(held).combine_chunks()).num_rows:
             yield work(table, _cuts(table, names))
 
-    return run
+    return trimmed(run)
 
 
 def _cuts(table: pa.Table, names: list[str]) -> np.ndarray:
@@ -452,8 +454,8 @@ def _searched(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
             chosen = (key >= part) & (key < part + 512)
             held = np.zeros((len(label), min(512, len(inside) - part)), np.float32)
             held[at[chosen], key[chosen] - part] = 1
-            for some in range(0, len(x), 1 << 14):
-                met[some : some + (1 << 14)] += np.einsum("pk,pk->p", held[x[some : some + (1 << 14)]], held[y[some : some + (1 << 14)]]).astype(np.int64)
+            for some in range(0, len(x), 1 << 11):
+                met[some : some + (1 << 11)] += np.einsum("pk,pk->p", held[x[some : some + (1 << 11)]], held[y[some : some + (1 << 11)]]).astype(np.int64)
         x, y, met = x[met > 0], y[met > 0], met[met > 0]
         found.append((label[x], label[y], met, needed_keys(np.minimum(n[first[x]], n[first[y]]))))
     return _counted(*(np.concatenate(column) for column in zip(*found, strict=True)))
