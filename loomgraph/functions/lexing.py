@@ -16,16 +16,28 @@ KINDS = ["NONE", "PUNCTUATION", "KEYWORD", "IDENTIFIER", "STRING", "NUMBER", "CO
 SPACE_RUN = 20
 TOKEN = T.StructType([T.StructField("spelling", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType())])
 
-_CLASSES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+| {1,%d}|(.)\1*" % SPACE_RUN, re.S)
+
+
+class _Kinds(dict):
+    """Class letter of a character: upper, lower, number, blank, tab, other white space, other."""
+
+    def __missing__(self, c: str) -> str:
+        tests = ((str.isupper, "U"), (str.islower, "L"), (str.isdigit, "N"), (" ".__eq__, "B"), ("\t".__eq__, "T"), (str.isspace, "W"))
+        self[c] = next((kind for test, kind in tests if test(c)), "X")
+        return self[c]
+
+
+_KINDS = _Kinds()
+_RUNS = re.compile(r"U?L+|U+(?!L)|N+|B{1,%d}|T{1,%d}|W|X+" % (SPACE_RUN, SPACE_RUN))
 
 
 def lossless_pieces(text: str) -> list[str]:
-    """Pieces of one character class that join to the text: capitalised words, digits, runs of blanks up to SPACE_RUN, single other characters."""
-    out = []
-    for m in _CLASSES.finditer(text):
-        piece = m[0]
-        out += list(piece) if m[1] is not None else [piece]
-    return out
+    """Pieces of one character class that join to the text.
+
+    Classes are those of Unicode: a capital goes with the small letters after it, digits and other
+    characters stay together in runs, equal blanks or tabs up to SPACE_RUN; other white space is single.
+    """
+    return [text[m.start() : m.end()] for m in _RUNS.finditer("".join(map(_KINDS.__getitem__, text)))]
 
 
 def python_tokens(code: str) -> list[tuple[str, str, int, int]]:
@@ -66,7 +78,11 @@ def lexed_python(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def greedy_bpe(vocabulary: list[str], unknown: int = 0):
-    """Column function: ids of the longest vocabulary entries that match from the left, each word closed by ``#``."""
+    """Column function: ids of the longest vocabulary entries that match from the left, each word closed by ``#``.
+
+    An entry that would leave the closing mark alone is passed over; the last two characters are one
+    token; where no entry of two or more characters fits, one character is. What the vocabulary lacks is ``unknown``.
+    """
     ids = {token: i for i, token in enumerate(vocabulary)}
     by_start: dict[str, list[str]] = {}
     for token in sorted(ids, key=len, reverse=True):
@@ -76,9 +92,10 @@ def greedy_bpe(vocabulary: list[str], unknown: int = 0):
         if word not in cache:
             rest, out = word + "#", []
             while rest:
-                hit = next((t for start in (rest[:2], rest[:1]) for t in by_start.get(start, ()) if rest.startswith(t)), None)
-                out.append(ids[hit] if hit else unknown)
-                rest = rest[len(hit) if hit else 1 :]
+                fits = (t for t in by_start.get(rest[:2], ()) if rest.startswith(t) and len(rest) - len(t) != 1)
+                hit = rest if len(rest) == 2 else next(fits, rest[0])
+                out.append(ids.get(hit, unknown))
+                rest = rest[len(hit) :]
             cache[word] = out
         return cache[word]
 

@@ -73,8 +73,13 @@ def reconstituted(pieces: Column) -> Column:
 
 
 def identifier_pieces(name: Column) -> Column:
-    """Pieces of a name at case changes, digits and underscores; underscores stay with the piece before, leading ones are a piece."""
-    return F.regexp_extract_all(name, F.lit(r"^_+|(?:\p{Lu}+(?!\p{Ll})|\p{Lu}?[\p{Ll}]+|[^\p{Lu}\p{Ll}_]+|\p{Lu})_*"), F.lit(0))
+    """Pieces of a name at capitals and underscores; underscores stay with the piece before, leading ones are a piece.
+
+    Whatever is no capital (digits too) goes on with the piece it follows; a title-case letter is a
+    capital with a small letter after it.
+    """
+    small = r"[^\p{Lu}\p{Lt}_]"
+    return F.regexp_extract_all(name, F.lit(rf"^_+|(?:\p{{Lt}}{small}*|\p{{Lu}}{small}+|\p{{Lu}}+(?!{small})|{small}+)_*"), F.lit(0))
 
 
 def bare(text: Column) -> Column:

@@ -39,6 +39,13 @@ def padded_ids(tokens: DataFrame, key: str, length: int) -> DataFrame:
     return rows.select(key, F.concat(ids, F.array_repeat(F.lit(PAD).cast("long"), F.greatest(F.lit(length) - F.size("s"), F.lit(0)))).alias("ids"))
 
 
+def padded_blocks(tokens: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, block, ids): all ids by position in rows of ``width``, the last one padded; a long text has many rows and no task holds it whole."""
+    placed = tokens.withColumn("block", F.floor(F.col("pos") / width).cast("int")).groupBy(key, "block").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
+    ids = F.transform("s", lambda x: x.id)
+    return placed.select(key, "block", F.concat(ids, F.array_repeat(F.lit(PAD).cast("long"), F.lit(width) - F.size("s"))).alias("ids"))
+
+
 def coo(tokens: DataFrame, key: str) -> DataFrame:
     """(row, token_id, value): counts of ids in a row as coordinates."""
     return tokens.groupBy(F.col(key).alias("row"), F.col("id").alias("token_id")).agg(F.count("*").alias("value"))

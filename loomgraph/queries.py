@@ -52,7 +52,7 @@ reach(node, level) AS (SELECT '{start}', 0 UNION SELECT dst, level + 1 FROM reac
 levels AS (SELECT node, min(level) AS level FROM reach GROUP BY node)"""
 
 
-def _levels(start: str, depth: int, edges: str = SMALL_EDGES) -> str:
+def _levels(start: str, depth: int, edges: str = EDGES) -> str:
     return LEVELS.format(edges=edges, ways=WAYS, start=start, depth=depth)
 
 
@@ -121,12 +121,12 @@ def graph_stats(spark, sf_dir):
 
 @query(f"WITH {_levels('region(0)', 2)} SELECT node, level FROM levels")
 def k_hop(spark, sf_dir):
-    return graph.bfs_levels(_edges(spark, sf_dir, SMALL), spark.createDataFrame([("region(0)",)], "node string"), depth=2)
+    return graph.bfs_levels(_edges(spark, sf_dir), spark.createDataFrame([("region(0)",)], "node string"), depth=2)
 
 
 @query(f"WITH {_levels('nation(1)', 4)}, first AS (SELECT node, level, row_number() OVER (ORDER BY level, node) AS number FROM levels) SELECT node, level, CAST(number AS INT) AS number FROM first WHERE number <= 200")
 def bfs_sample(spark, sf_dir):
-    return graph.bfs_sample(_edges(spark, sf_dir, SMALL), spark.createDataFrame([("nation(1)",)], "node string"), 200)
+    return graph.bfs_sample(_edges(spark, sf_dir), spark.createDataFrame([("nation(1)",)], "node string"), 200)
 
 
 @query(
@@ -134,13 +134,13 @@ def bfs_sample(spark, sf_dir):
     "SELECT src, dst, label FROM edges WHERE src IN (SELECT node FROM first) AND dst IN (SELECT node FROM first)"
 )
 def induced_sample(spark, sf_dir):
-    edges = _edges(spark, sf_dir, SMALL)
+    edges = _edges(spark, sf_dir)
     return graph.induced(edges, graph.bfs_sample(edges, spark.createDataFrame([("nation(1)",)], "node string"), 200))
 
 
-@query(f"WITH {_levels('supplier(1)', 6)} SELECT CAST(level AS INT) AS length FROM levels WHERE node = 'customer(1)'")
+@query(f"WITH {_levels('nation(5)', 6)} SELECT CAST(level AS INT) AS length FROM levels WHERE node = 'nation(0)'")
 def shortest_path_length(spark, sf_dir):
-    return graph.shortest_path(_edges(spark, sf_dir, SMALL), "customer(1)", "supplier(1)").select("length")
+    return graph.shortest_path(_edges(spark, sf_dir), "nation(0)", "nation(5)").select("length")
 
 
 @query(f"WITH {EDGES}, l AS (SELECT label, 'e,' || dense_rank() OVER (ORDER BY label) AS code FROM (SELECT DISTINCT label FROM edges)) SELECT code, count(*) AS n FROM edges JOIN l USING (label) GROUP BY code")
@@ -153,30 +153,30 @@ def csr_offsets(spark, sf_dir):
     return graph.csr_offsets(_edges(spark, sf_dir))
 
 
-@query(f"WITH {SMALL_EDGES}, t AS (SELECT src, dst, dense_rank() OVER (ORDER BY label) - 1 AS k FROM edges) SELECT src, dst, CAST(2 * k AS INT) AS type FROM t UNION ALL SELECT dst, src, CAST(2 * k + 1 AS INT) FROM t")
+@query(f"WITH {EDGES}, t AS (SELECT src, dst, dense_rank() OVER (ORDER BY label) - 1 AS k FROM edges) SELECT src, dst, CAST(2 * k AS INT) AS type FROM t UNION ALL SELECT dst, src, CAST(2 * k + 1 AS INT) FROM t")
 def reverse_edges(spark, sf_dir):
-    edges = graph.relabel_edges(_edges(spark, sf_dir, SMALL))
+    edges = graph.relabel_edges(_edges(spark, sf_dir))
     return graph.reverse_typed(edges.select("src", "dst", (F.substring("code", 3, 9).cast("int") - 1).alias("type")))
 
 
-@query(f"WITH {SMALL_EDGES}, {WAYS}, s AS (SELECT DISTINCT src, dst FROM ways), w AS (SELECT src, dst, CAST(CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS BIGINT) AS weight FROM s) SELECT src, dst, weight, CAST(sum(weight) OVER (PARTITION BY src) AS BIGINT) AS total_weight FROM w")
+@query(f"WITH {EDGES}, {WAYS}, s AS (SELECT DISTINCT src, dst FROM ways), w AS (SELECT src, dst, CAST(CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS BIGINT) AS weight FROM s) SELECT src, dst, weight, CAST(sum(weight) OVER (PARTITION BY src) AS BIGINT) AS total_weight FROM w")
 def transition_probabilities(spark, sf_dir):
-    return walks.transition_probabilities(_edges(spark, sf_dir, SMALL), ("nation",))
+    return walks.transition_probabilities(_edges(spark, sf_dir), ("nation",))
 
 
-WALKS, STEPS = 4, (3, 6)
+WALKS, STEPS = 20, (4, 8)
 
 
 def _walks(spark, sf_dir):
-    anchors = graph.load(spark, sf_dir, "region")["region"].select(graph.node_label("region", F.col("r_regionkey")).alias("anchor"))
-    return walks.random_walks(_edges(spark, sf_dir, SMALL), anchors, WALKS, STEPS, ("nation",), seed=3)
+    anchors = graph.load(spark, sf_dir, "supplier")["supplier"].select(graph.node_label("supplier", F.col("s_suppkey")).alias("anchor"))
+    return walks.random_walks(_edges(spark, sf_dir), anchors, WALKS, STEPS, ("nation",), seed=3)
 
 
 def _walk_sql() -> str:
     low, high = STEPS
     number = lambda x: f"CAST(('0x' || substr(md5({x}), 1, 7)) AS BIGINT)"
-    parts = [f"{SMALL_EDGES}, {WAYS}", "o AS (SELECT src, dst, list_sort(list(DISTINCT label)) AS labels, CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS w FROM ways GROUP BY src, dst)"]
-    parts.append(f"r AS (SELECT 'region(' || r_regionkey || ')' AS anchor, CAST(walk AS INT) AS walk FROM region, range(1, {WALKS + 1}) t(walk))")
+    parts = [f"{EDGES}, {WAYS}", "o AS (SELECT src, dst, list_sort(list(DISTINCT label)) AS labels, CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS w FROM ways GROUP BY src, dst)"]
+    parts.append(f"r AS (SELECT 'supplier(' || s_suppkey || ')' AS anchor, CAST(walk AS INT) AS walk FROM supplier, range(1, {WALKS + 1}) t(walk))")
     length = number("'3|' || anchor || '|' || walk || '|length'")
     parts.append(f"s0 AS (SELECT anchor, walk, {low} + {length} % {high - low + 1} AS length, anchor AS node, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS used, true AS moved FROM r)")
     for i in range(1, high + 1):
@@ -196,7 +196,7 @@ def random_walks(spark, sf_dir):
 
 @query()
 def padded_walks(spark, sf_dir):
-    return walks.padded_walks(walks.as_arrays(_walks(spark, sf_dir)), 6)
+    return walks.padded_walks(walks.as_arrays(_walks(spark, sf_dir)), 24)
 
 
 @query()
@@ -371,11 +371,11 @@ def token_coo(spark, sf_dir):
     return vocabulary.coo(vocabulary.encoded(found, vocab), "doc_id")
 
 
-@query(f"WITH {TOKENS}, s AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM e WHERE pos < 32 GROUP BY 1) SELECT doc_id, array_to_string(list_resize(ids, 32, 0), ' ') AS ids FROM s")
+@query(f"WITH {TOKENS}, s AS (SELECT doc_id, CAST(pos // 32 AS INT) AS block, list(id ORDER BY pos) AS ids FROM e GROUP BY 1, 2) SELECT doc_id, block, array_to_string(list_resize(ids, 32, 0), ' ') AS ids FROM s")
 def padded_matrix(spark, sf_dir):
     found, vocab = _tokens(spark, sf_dir)
-    rows = vocabulary.padded_ids(vocabulary.encoded(found, vocab), "doc_id", 32)
-    return rows.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+    rows = vocabulary.padded_blocks(vocabulary.encoded(found, vocab), "doc_id", 32)
+    return rows.select("doc_id", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(0, CAST(greatest(ceil(length(p_name) / 15.0), 1) AS BIGINT)), lambda i: substr(p_name, i * 15 + 1, 15)), '|') AS pieces FROM part")
@@ -548,12 +548,12 @@ def best_event(spark, sf_dir):
 
 # message passing
 
-VECTORS = "x AS (SELECT vec_id AS node, CAST(unnest(range(0, 8)) AS INT) AS dim, CAST(unnest(embedding[1:8]) AS DOUBLE) AS value FROM embeddings), m AS (SELECT vec_id AS src, vec_id // 3 AS dst, CAST(vec_id % 2 AS INT) AS type FROM embeddings)"
+VECTORS = "x AS (SELECT vec_id AS node, CAST(unnest(range(0, len(embedding))) AS INT) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings), m AS (SELECT vec_id AS src, vec_id // 3 AS dst, CAST(vec_id % 2 AS INT) AS type FROM embeddings)"
 
 
 def _vectors(spark, sf_dir):
     e = graph.load(spark, sf_dir, "embeddings")["embeddings"]
-    features = e.select(F.col("vec_id").alias("node"), F.posexplode(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))).alias("dim", "value"))
+    features = e.select(F.col("vec_id").alias("node"), F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("dim", "value"))
     edges = e.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 3).alias("dst"), F.pmod("vec_id", F.lit(2)).cast("int").alias("type"))
     return features, edges, e.select(F.col("vec_id").alias("node"))
 

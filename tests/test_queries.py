@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from loomgraph import queries
@@ -23,7 +24,15 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    show = lambda v: repr(round(v, 5)) if isinstance(v, float) else str(v)
+
+    def show(v):
+        """One form for nulls of every kind, and for whole numbers that pandas made floats."""
+        if pd.api.types.is_scalar(v) and pd.isna(v):
+            return "null"
+        if isinstance(v, float):
+            return str(int(v)) if v == int(v) else repr(round(v, 5))
+        return str(v)
+
     return sorted(tuple(show(v) for v in row) for row in frame.itertuples(index=False, name=None))
 
 
