@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from loomgraph.llm.common import by_bytes, forget, with_columns
 
 #: Entries of one generation of a cache; two generations are held.
-CACHE_CHUNKS, CACHE_WORDS = 200_000, 250_000
-CACHE_PAIRS = 600_000
+CACHE_CHUNKS, CACHE_WORDS = 100_000, 120_000
+CACHE_PAIRS = 300_000
 NEVER = 1 << 60
 END = "</w>"
 #: White space of the Unicode property White_Space; Python's own split also takes U+001C to U+001F.
@@ -59,6 +59,10 @@ class Generations:
             self.young[key] = self.old[key]
         return [*absent.difference(self.young)]
 
+    def rest(self) -> None:
+        """Hold less between tasks: the older generation goes."""
+        self.old = {}
+
 
 class TrieBpe:
     """Words are strings of symbols: U+0000-U+00FF for a byte, U+0100-U+01FF for the last byte of a word."""
@@ -242,7 +246,12 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", diges
                 rows.append((n, _sha(ids), _sha(decoded)) if digests else (n, [*map(int, ids.split())], decoded))
         return [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
 
-    return with_columns(docs, text, fields, work)
+    def rest() -> None:
+        bpe = encoder(tokenizer)
+        bpe.chunks.rest()
+        bpe.known.rest()
+
+    return with_columns(docs, text, fields, work, after=rest)
 
 
 def _sha(text: str) -> str:

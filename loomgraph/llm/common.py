@@ -60,12 +60,14 @@ def with_columns(
     work: Callable[[list], list[list]],
     as_bytes: bool = False,
     keep: Callable[[dict], list[bool]] | None = None,
+    after: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Add columns that ``work`` computes from the texts of an Arrow batch.
 
     ``work`` gets the texts (str, or UTF-8 bytes; None for null) and returns a list of values for
     each field. Other columns pass through untouched; an input column with the name of a new one
-    gives way to it. ``keep`` gets the new columns by name and says which rows stay.
+    gives way to it. ``keep`` gets the new columns by name and says which rows stay;
+    ``after`` is called at the end of a partition.
     """
     names = {name for name, _ in fields}
     rest = [f for f in df.schema.fields if f.name not in names]
@@ -84,6 +86,8 @@ def with_columns(
             if keep is not None:
                 out = out.filter(pa.array(keep(dict(zip([n for n, _ in fields], made, strict=True))), pa.bool_()))
             yield out
+        if after is not None:
+            after()
 
     return df.mapInArrow(trimmed(run), schema)
 
