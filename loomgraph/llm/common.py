@@ -8,9 +8,13 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: Bytes of text of an Arrow batch that are worked on at once.
+PART_BYTES = 4 << 20
+
 
 def release() -> None:
     """Give memory that this worker has freed back to the system; workers outlive tasks and stages."""
@@ -47,6 +51,13 @@ def by_bytes(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, at
 
 
+def in_parts(batch: pa.RecordBatch, text: int, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, so that a part only becomes Python objects at a time."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    for start, end in by_bytes(sizes, most):
+        yield batch.slice(start, end - start)
+
+
 def forget(cache: dict) -> None:
     """Drop the older half of a worker's cache."""
     for key in [*itertools.islice(cache, len(cache) // 2)]:
@@ -78,7 +89,7 @@ def with_columns(
     all_names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in in_parts(whole, at)):
             column = batch.column(at)
             made = work(text_bytes(column) if as_bytes else column.to_pylist())
             arrays = [batch.column(i) for i in places] + [pa.array(v, t) for v, t in zip(made, arrow, strict=True)]
