@@ -59,10 +59,6 @@ class Generations:
             self.young[key] = self.old[key]
         return [*absent.difference(self.young)]
 
-    def rest(self) -> None:
-        """Hold less between tasks: the older generation goes."""
-        self.old = {}
-
 
 class TrieBpe:
     """Words are strings of symbols: U+0000-U+00FF for a byte, U+0100-U+01FF for the last byte of a word."""
@@ -88,6 +84,13 @@ class TrieBpe:
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.ranks = {(self.symbols(a), self.symbols(b)): r for r, (a, b) in enumerate(merges)}
         self.ends = {t[i:] for t in self.ids for i in range(len(t))}
+        self.rest()
+
+    def rest(self) -> None:
+        """Hold the vocabulary alone, as between tasks: what texts have left goes.
+
+        All of it, as the few entries that stay would keep whole blocks of memory in use.
+        """
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.chunks, self.known = Generations(CACHE_CHUNKS), Generations(CACHE_WORDS)
@@ -246,12 +249,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", diges
                 rows.append((n, _sha(ids), _sha(decoded)) if digests else (n, [*map(int, ids.split())], decoded))
         return [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
 
-    def rest() -> None:
-        bpe = encoder(tokenizer)
-        bpe.chunks.rest()
-        bpe.known.rest()
-
-    return with_columns(docs, text, fields, work, after=rest)
+    return with_columns(docs, text, fields, work, after=lambda: encoder(tokenizer).rest())
 
 
 def _sha(text: str) -> str:

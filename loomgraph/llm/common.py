@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,7 +18,11 @@ PART_BYTES = 4 << 20
 
 
 def release() -> None:
-    """Give memory that this worker has freed back to the system; workers outlive tasks and stages."""
+    """Give memory that this worker has freed back to the system; workers outlive tasks and stages.
+
+    Collecting also empties the interpreter's lists of free objects, which keep whole blocks in use.
+    """
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL("libc.so.6").malloc_trim(0)
