@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from itertools import chain
 
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +26,8 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.common import by_bytes, forget, with_columns
 
-#: Entries of one generation of a cache; two generations are held.
-CACHE_CHUNKS, CACHE_WORDS = 100_000, 120_000
+#: Words of one generation of a cache, and chunks by their share; two generations are held.
+CACHE_WORDS, CHUNK_SHARE = 120_000, 5 / 6
 CACHE_PAIRS = 300_000
 NEVER = 1 << 60
 END = "</w>"
@@ -63,7 +64,8 @@ class Generations:
 class TrieBpe:
     """Words are strings of symbols: U+0000-U+00FF for a byte, U+0100-U+01FF for the last byte of a word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.letters = byte_letters()
@@ -81,9 +83,12 @@ class TrieBpe:
                 self.shown[i] = token
                 if (symbols := self.symbols(token)) is not None:
                     self.ids[symbols] = i
+        self.digits: dict[int, str] = {i: str(i) for i in self.shown}
         merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.ranks = {(self.symbols(a), self.symbols(b)): r for r, (a, b) in enumerate(merges)}
-        self.ends = {t[i:] for t in self.ids for i in range(len(t))}
+        one = {t: t for t in self.ids}  # one object for all uses of a token
+        part = lambda token: one.setdefault(t := self.symbols(token), t)
+        self.ranks = {(part(a), part(b)): r for r, (a, b) in enumerate(merges)}
+        self.ends = {one.get(t[i:], t[i:]) for t in self.ids for i in range(len(t))}
         self.rest()
 
     def rest(self) -> None:
@@ -93,7 +98,7 @@ class TrieBpe:
         """
         self.pairs: dict[tuple[str, str], bool] = {}
         self.edges: dict[str, tuple[list, list] | None] = {}
-        self.chunks, self.known = Generations(CACHE_CHUNKS), Generations(CACHE_WORDS)
+        self.chunks, self.known = Generations(int(CHUNK_SHARE * self.cache_words)), Generations(self.cache_words)
 
     def symbols(self, token: str) -> str | None:
         end = token.endswith(END) and token != END
@@ -202,47 +207,50 @@ class TrieBpe:
         return out
 
     def learn(self, chunks: list[str]) -> None:
-        """Put chunks into the cache as (count, ids joined by spaces, shown tokens joined by spaces), as words are."""
+        """Put the ids of chunks into the cache, as those of their words are."""
         split = [self.words(c) for c in chunks]
         new = self.known.missing({w for words in split for w in words})
-        words = self.known.young
+        words, ids = self.known.young, self.ids.__getitem__
         for word, tokens in self.encode_words([w for w in new if isinstance(w, str)]).items():
-            ids = [self.ids[t] for t in tokens]
-            words[word] = len(ids), " ".join(map(str, ids)), " ".join(map(self.shown.__getitem__, ids))
-        words |= {i: (1, str(i), self.shown[i]) for i in new if isinstance(i, int)}
-        self.chunks.young |= {c: words[parts[0]] if len(parts) == 1 else joined([words[w] for w in parts]) for c, parts in zip(chunks, split, strict=True)}
+            words[word] = tuple(map(ids, tokens))
+        words |= {i: (i,) for i in new if isinstance(i, int)}
+        self.chunks.young |= {c: words[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable(map(words.__getitem__, parts))) for c, parts in zip(chunks, split, strict=True)}
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by spaces and decoded text of each text."""
         split = [[] if not t else _SPLIT.split(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
         if new := self.chunks.missing({c for parts in split for c in parts}):
             self.learn(new)
-        chunks = self.chunks.young
-        return [joined([x for c in parts if (x := chunks[c])[0]]) for parts in split]
+        chunk, digits, shown = self.chunks.young.__getitem__, self.digits.__getitem__, self.shown.__getitem__
+        out = []
+        for parts in split:
+            ids = [*chain.from_iterable(map(chunk, parts))]
+            out.append((len(ids), " ".join(map(digits, ids)), " ".join(map(shown, ids))))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """As a tokenizer without a decoder does: tokens joined by spaces, special ones kept."""
         return " ".join(self.shown[i] for i in ids)
 
 
-def joined(parts: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-    """Encodings in a row; chunks without tokens are left out before."""
-    return sum([x[0] for x in parts]), " ".join([x[1] for x in parts]), " ".join([x[2] for x in parts])
-
-
-def encoder(path: str) -> TrieBpe:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> TrieBpe:
+    """The worker's encoder of a vocabulary; another size of its caches holds from when they are next emptied."""
     if path not in _encoders:
-        _encoders[path] = TrieBpe(path)
+        _encoders[path] = TrieBpe(path, cache_words)
+    _encoders[path].cache_words = cache_words
     return _encoders[path]
 
 
-def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 21) -> DataFrame:
-    """Add n_tokens and, with ``digests``, ids_sha256 and decoded_sha256; else ids (array) and decoded (string)."""
+def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 21, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Add n_tokens and, with ``digests``, ids_sha256 and decoded_sha256; else ids (array) and decoded (string).
+
+    ``cache_words`` bounds what a worker remembers between groups of texts; it changes cost only.
+    """
     fields = [("n_tokens", T.LongType())]
     fields += [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
 
     def work(texts: list[str | None]) -> list[list]:
-        bpe = encoder(tokenizer)
+        bpe = encoder(tokenizer, cache_words)
         rows: list[tuple] = []
         for start, end in by_bytes((len(t) if t else 0 for t in texts), group_bytes):
             for n, ids, decoded in bpe.encode(texts[start:end]):
