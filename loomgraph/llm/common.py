@@ -8,6 +8,7 @@ import gc
 import itertools
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -63,6 +64,33 @@ def in_parts(batch: pa.RecordBatch, text: int, most: int = PART_BYTES) -> Iterat
         yield batch.slice(start, end - start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that hold groups whole, from batches in which a group's rows are consecutive; a larger group is alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < rows:
+            continue
+        table = pa.Table.from_batches(held)
+        ends = np.zeros(table.num_rows - 1, bool)  # whether the next row begins another group
+        for key in keys:
+            column = table[key].combine_chunks()
+            ends |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), True).to_numpy(zero_copy_only=False)
+        start = 0
+        for cut in np.flatnonzero(ends) + 1:
+            if cut - start >= rows:
+                yield table.slice(start, cut - start)
+                start = int(cut)
+        last = int(np.flatnonzero(ends)[-1]) + 1 if ends.any() else 0
+        if last - start >= rows // 2:
+            yield table.slice(start, last - start)
+            start = last
+        held = table.slice(start).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def forget(cache: dict) -> None:
     """Drop the older half of a worker's cache."""
     for key in [*itertools.islice(cache, len(cache) // 2)]:

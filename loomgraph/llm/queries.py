@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard_join, langid, pii, quality, secrets, suffix_dedup, token_counts, warc
+from loomgraph.llm import bpe, decontam, jaccard_join, langid, merkle, pii, quality, secrets, suffix_dedup, token_counts, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,9 +67,60 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    claimed = F.when(touched, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(docs, "doc_id", "source", ["doc_id", "source", "lang", "n_chars", "text"], {"text": claimed})
+    return merkle.verified(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality, op11_merkle)}
+
+
+
+def _merkle_sql(arity: int = merkle.ARITY, levels: int = 18) -> str:
+    """All levels of the parts' trees, then of the tree of subroots, up and down again; enough levels for 3 ** 18 rows of a part."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    bits = "flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: list_concat([ascii(CAST(doc_id AS VARCHAR)[i])], [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    crc = f"list_reduce(list_concat([CAST(4294967295 AS BIGINT)], {bits}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    # the sum is inverted at its end, so it is even where the last bit is set before
+    parts = [
+        f"d AS MATERIALIZED (SELECT *, CASE WHEN {crc} % 2 = 1 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents)",
+        f"a0 AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS node, {leaf('other')} AS claimed FROM d)",
+        "s AS MATERIALIZED (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM a0))",
+        "leaves AS MATERIALIZED (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS i, node, claimed FROM a0 JOIN s ON a0.source IS NOT DISTINCT FROM s.source)",
+    ]
+
+    def climb(name: str, first: str) -> None:
+        parts.append(f"{name}0 AS MATERIALIZED (SELECT tree, i, node, count(*) OVER (PARTITION BY tree) AS n FROM {first})")
+        for k in range(levels):
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // {arity} AS i, CASE WHEN n > 1 THEN sha256(string_agg(node, '' ORDER BY i)) ELSE any_value(node) END AS node, (n + {arity - 1}) // {arity} AS n FROM {name}{k} GROUP BY tree, n, i // {arity})"
+            )
+
+    def fold(name: str, nodes: str, first: str) -> None:
+        parts.append(f"{name}0 AS ({first})")
+        for k in range(levels):
+            side = lambda low, high: f"coalesce(string_agg(node, '') OVER (PARTITION BY tree, i // {arity} ORDER BY i ROWS BETWEEN {low} AND {high}), '')"
+            parts.append(f"{name}s{k} AS MATERIALIZED (SELECT tree, i, n, {side('UNBOUNDED PRECEDING', '1 PRECEDING')} AS l, {side('1 FOLLOWING', 'UNBOUNDED FOLLOWING')} AS r FROM {nodes}{k})")
+            parts.append(
+                f"{name}{k + 1} AS MATERIALIZED (SELECT id, p.tree, p.i // {arity} AS i, CASE WHEN n > 1 THEN sha256(l || node || r) ELSE node END AS node, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof FROM {name}{k} p JOIN {name}s{k} q ON p.tree = q.tree AND p.i = q.i)"
+            )
+
+    climb("x", "leaves")
+    climb("y", f"(SELECT 0 AS tree, tree AS i, node FROM x{levels})")
+    fold("u", "x", "SELECT tree || '-' || i AS id, tree, i, claimed AS node, '' AS proof FROM leaves")
+    fold("v", "y", f"SELECT id, 0 AS tree, tree AS i, node, proof FROM u{levels}")
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaves.node AS leaf, x{levels}.node AS subroot, y{levels}.node AS root, sha256(proof) AS proof_sha256, v{levels}.node AS folded_root, v{levels}.node = y{levels}.node AS verified "
+        f"FROM leaves JOIN x{levels} USING (tree) JOIN v{levels} ON id = leaves.tree || '-' || leaves.i JOIN y{levels} ON true"
+    )
+
 
 ORACLE_SQL = {
+    "op11_merkle": _merkle_sql(),
     "op3_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
 w AS (SELECT doc_id, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(n_bytes - 49, 0))) AS s FROM d)),
