@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard_join, langid, merkle, pii, quality, secrets, suffix_dedup, token_counts, warc
+from loomgraph.llm import bpe, decontam, jaccard_join, langid, merkle, pii, quality, secrets, suffix_dedup, token_counts, toxicity, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,6 +67,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held_out)
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").distinct()
+    model = toxicity.train(docs.where(~F.col("held_out")).join(labels, "doc_id"), "text", "toxic", by=("doc_id",))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -75,7 +83,7 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality, op11_merkle)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality, op11_merkle, op13_toxicity)}
 
 
 
