@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, decontam, jaccard_join, langid, merkle, pii, quality, secrets, suffix_dedup, token_counts, toxicity, warc
+from loomgraph.llm import bpe, decontam, divergence, jaccard_join, langid, merkle, pii, quality, secrets, suffix_dedup, token_counts, toxicity, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -67,14 +67,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_kept")).alias("base_failed"), "kept", "failed_bits")
 
 
-def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held_out)
-    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").distinct()
-    model = toxicity.train(docs.where(~F.col("held_out")).join(labels, "doc_id"), "text", "toxic", by=("doc_id",))
-    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
-
-
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -83,7 +75,19 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(found).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality, op11_merkle, op13_toxicity)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held_out)
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").distinct()
+    model = toxicity.train(docs.where(~F.col("held_out")).join(labels, "doc_id"), "text", "toxic", by=("doc_id",))
+    return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_pii, op3_suffix_dedup, op4_secrets, op5_decontamination, op6_token_counts, op7_jaccard, op8_warc, op9_bpe, op10_quality, op11_merkle, op12_divergence, op13_toxicity)}
 
 
 
@@ -129,6 +133,20 @@ def _merkle_sql(arity: int = merkle.ARITY, levels: int = 18) -> str:
 
 ORACLE_SQL = {
     "op11_merkle": _merkle_sql(),
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+o AS MATERIALIZED (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, term, coalesce(c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, c, 1 + (1000000000 * (CAST(c AS HUGEINT) + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * count(*) OVER (PARTITION BY lang, source)) AS p FROM t),
+l AS (SELECT lang, term, 1 + (1000000000 * (CAST(c AS HUGEINT) + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(c) AS c FROM t GROUP BY 1, 2)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM e
+QUALIFY part = 'pair' OR rank <= 50""",
     "op3_suffix_dedup": r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
 w AS (SELECT doc_id, s, md5_number(substr(h, CAST(2 * s + 1 AS BIGINT), 100)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(n_bytes - 49, 0))) AS s FROM d)),
