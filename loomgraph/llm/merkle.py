@@ -92,7 +92,7 @@ class Buckets:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": LIMIT, "temp_directory": ""})
         self.con.register("leaves", leaves)
         self.con.execute("CREATE TABLE nodes AS SELECT tree, bucket, height, spot AS i, node FROM leaves")
-        self.top = self.con.execute("SELECT coalesce(max(height), 0) FROM nodes").fetchone()[0]
+        self.top = self.con.execute("SELECT coalesce(max(height), 0) FROM nodes").fetchall()[0][0]
 
     def climb(self, level: int) -> None:
         """Replace the nodes by those of the next level; buckets that have reached theirs stay."""
