@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from loomgraph import queries
+from loomgraph import program_queries, queries  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
