@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import definitions, graph
+from loomgraph.operators import definitions, graph, propagation
 from loomgraph.queries import query
 
 # control flow: the events of a user are a program, its active days are basic blocks, types of events are variables
@@ -70,3 +71,60 @@ def unused_names(spark, sf_dir):
     dumping = facts.where("graph_id % 40 = 0").select("graph_id", F.col("graph_id").alias("scope")).distinct()
     shared = facts.where("variable = 'view' and graph_id % 3 = 0").select("graph_id", "variable").distinct()
     return definitions.unused_names(facts, flow, variables, facts.where("read"), dumping, shared)
+
+
+# propagation: each vector is a node, its edges go to the node of a third of its number; weights follow a rule
+
+ROUNDS, SIZE, TYPES = 3, 64, 2
+
+
+def _weight(layer: int, kind: int, i, j):
+    """Entry (i, j) of a layer's matrix; kind 0 and 1 for edge types, 2 and 3 for the halves of the merging layer, 4 for the readout."""
+    return ((7 * i + 3 * j + 5 * layer + 2 * kind) % 11 - 5) / 100
+
+
+def _rounds() -> list[propagation.Round]:
+    i, j = np.indices((SIZE, SIZE))
+    matrix = lambda layer, kind: _weight(layer, kind, i, j)
+    bias = np.arange(SIZE) % 3 / 10
+    return [propagation.Round([propagation.Dense(matrix(r, k), bias) for k in range(TYPES)], propagation.Dense(np.concatenate([matrix(r, 2), matrix(r, 3)], axis=1), -bias)) for r in range(ROUNDS)]
+
+
+def _propagated(spark, sf_dir):
+    e = graph.load(spark, sf_dir, "embeddings")["embeddings"]
+    states = e.select(F.col("vec_id").alias("node"), F.transform("embedding", lambda v: v.cast("double")).alias("state"))
+    edges = e.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 3).alias("dst"), F.pmod("vec_id", F.lit(2)).cast("int").alias("type"))
+    return propagation.propagate(states, edges, _rounds(), SIZE)
+
+
+def _propagation_sql() -> str:
+    weight = lambda layer, kind, i, j: f"((7 * {i} + 3 * {j} + 5 * {layer} + 2 * {kind}) % 11 - 5) / 100.0"
+    parts = [
+        f"d AS (SELECT CAST(unnest(range(0, {SIZE})) AS INT) AS i)",
+        "m AS (SELECT vec_id AS src, vec_id // 3 AS dst, CAST(vec_id % 2 AS INT) AS type FROM embeddings)",
+        "h0 AS MATERIALIZED (SELECT vec_id AS node, CAST(unnest(range(0, len(embedding))) AS INT) AS dim, tanh(CAST(unnest(embedding) AS DOUBLE)) AS v FROM embeddings)",
+    ]
+    for r in range(ROUNDS):
+        parts += [
+            f"s{r} AS MATERIALIZED (SELECT dst AS node, type, dim, sum(v) AS v, count(*) AS n FROM m JOIN h{r} ON node = src GROUP BY 1, 2, 3)",
+            f"t{r} AS (SELECT node, k.type, i, tanh(coalesce(sum(v * ({weight(r, 'k.type', 'i', 'dim')})), 0) + coalesce(max(n), 0) * (i % 3) / 10.0) AS v FROM (SELECT node, type, i FROM (SELECT DISTINCT node FROM h0), (SELECT unnest([0, 1]) AS type), d) k LEFT JOIN s{r} USING (node, type) GROUP BY 1, 2, 3)",
+            f"g{r} AS (SELECT node, d.i, sum(v * ({weight(r, '(2 + type)', 'd.i', 't.i')})) AS v FROM t{r} t, d GROUP BY 1, 2)",
+            f"h{r + 1} AS MATERIALIZED (SELECT h.node, dim, tanh(h.v + g.v - (dim % 3) / 10.0) AS v FROM h{r} h JOIN g{r} g ON h.node = g.node AND h.dim = g.i)",
+        ]
+    return ", ".join(parts)
+
+
+@query(f"WITH {_propagation_sql()} SELECT node, dim, round(v, 6) AS value FROM h{ROUNDS}")
+def propagated_states(spark, sf_dir):
+    last = _propagated(spark, sf_dir).where(F.col("level") == ROUNDS)
+    return last.select("node", F.posexplode("state").alias("dim", "value")).select("node", "dim", F.round("value", 6).alias("value"))
+
+
+@query(
+    f"WITH {_propagation_sql()}, l AS ({' UNION ALL '.join(f'SELECT {r} AS level, * FROM h{r}' for r in range(ROUNDS + 1))}), p AS (SELECT label, level, dim, max(v) AS v FROM l JOIN embeddings ON vec_id = node GROUP BY 1, 2, 3) "
+    "SELECT label AS graph, dim, round(avg(v), 6) AS value FROM p GROUP BY 1, 2"
+)
+def readout_across_rounds(spark, sf_dir):
+    members = graph.load(spark, sf_dir, "embeddings")["embeddings"].select(F.col("vec_id").alias("node"), F.col("label").alias("graph"))
+    found = propagation.readout(_propagated(spark, sf_dir), members, ROUNDS, SIZE, propagation.Readout(nodes="max", rounds="mean"))
+    return found.select("graph", F.posexplode("state").alias("dim", "value")).select("graph", "dim", F.round("value", 6).alias("value"))
