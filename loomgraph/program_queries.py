@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import definitions, graph, propagation
-from loomgraph.queries import query
+from loomgraph.operators import access, definitions, graph, propagation
+from loomgraph.queries import EDGES, WAYS, _edges, query
 
 # control flow: the events of a user are a program, its active days are basic blocks, types of events are variables
 
@@ -128,3 +128,36 @@ def readout_across_rounds(spark, sf_dir):
     members = graph.load(spark, sf_dir, "embeddings")["embeddings"].select(F.col("vec_id").alias("node"), F.col("label").alias("graph"))
     found = propagation.readout(_propagated(spark, sf_dir), members, ROUNDS, SIZE, propagation.Readout(nodes="max", rounds="mean"))
     return found.select("graph", F.posexplode("state").alias("dim", "value")).select("graph", "dim", F.round("value", 6).alias("value"))
+
+
+# walks made on access: all places of one epoch over the suppliers
+
+EPOCH, EACH, STEPS = 2, 20, (4, 8)
+
+
+def _epoch_sql() -> str:
+    low, high = STEPS
+    number = lambda *x: f"CAST(('0x' || substr(md5('e|' || epoch || '|' || position || '|' || walk || '|' || {' || '.join(x)}), 1, 13)) AS BIGINT)"
+    parts = [
+        f"{EDGES}, {WAYS}",
+        "o AS (SELECT src, dst, list_sort(list(DISTINCT label)) AS labels, CASE WHEN dst LIKE 'nation(%' THEN 5 ELSE 1 END AS w FROM ways GROUP BY src, dst)",
+        "t AS MATERIALIZED (SELECT *, sum(w) OVER (PARTITION BY src ORDER BY dst) - w AS low, sum(w) OVER (PARTITION BY src) AS total FROM o)",
+        f"p AS (SELECT {EPOCH} AS epoch, row_number() OVER (ORDER BY md5('e|{EPOCH}|' || a), a) - 1 AS position, a FROM (SELECT 'supplier(' || s_suppkey || ')' AS a FROM supplier))",
+        f"s0 AS MATERIALIZED (SELECT epoch, position, walk, {low} + {number(repr('length'))} % {high - low + 1} AS length, a AS node, CAST(NULL AS VARCHAR) AS label, CAST([] AS VARCHAR[]) AS used, true AS moved FROM p, (SELECT unnest(range(1, {EACH + 1})) AS walk))",
+    ]
+    for i in range(1, high + 1):
+        parts += [
+            f"d{i} AS MATERIALIZED (SELECT s.*, {number(repr(f'{i}|node'))} AS draw, {number(repr(f'{i}|edge'))} AS edge FROM s{i - 1} s WHERE length >= {i})",
+            f"n{i} AS (SELECT d.*, dst, labels[edge % len(labels) + 1] AS took FROM d{i} d JOIN (SELECT DISTINCT src, total FROM t) z ON z.src = node JOIN t ON t.src = node AND draw % z.total >= t.low AND draw % z.total < t.low + t.w)",
+            f"k{i} AS (SELECT *, least(node, dst) || ' ' || greatest(node, dst) || ' ' || took AS name FROM n{i})",
+            f"s{i} AS MATERIALIZED (SELECT epoch, position, walk, length, CASE WHEN list_contains(used, name) THEN node ELSE dst END AS node, took AS label, CASE WHEN list_contains(used, name) THEN used ELSE list_append(used, name) END AS used, NOT list_contains(used, name) AS moved FROM k{i})",
+        ]
+    union = " UNION ALL ".join(f"SELECT epoch, position, walk, {i} AS step, node, label FROM s{i} WHERE moved" for i in range(high + 1))
+    return f"WITH {', '.join(parts)} {union}"
+
+
+@query(_epoch_sql())
+def walks_of_an_epoch(spark, sf_dir):
+    anchors = graph.load(spark, sf_dir, "supplier")["supplier"].select(graph.node_label("supplier", F.col("s_suppkey")).alias("anchor"))
+    tickets = access.ticket_table(_edges(spark, sf_dir), ("nation",))
+    return access.walks_at(tickets, access.epoch_order(anchors, "anchor", EPOCH, "e"), "anchor", EACH, STEPS, "e")
