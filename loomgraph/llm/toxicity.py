@@ -8,7 +8,7 @@ weights). Scoring hashes whole texts in Arrow batches, drops nearly all features
 and adds up the weights of the others.
 
 Training reads labelled rows only: a bounded hash sample of about ``PER_CLASS`` texts of either label,
-whose features are made on the executors; coordinates found in fewer than ``MIN_DOCS`` texts of it are
+chosen by key before any text is read (only these texts leave their place), whose features are made on the executors; coordinates found in fewer than ``MIN_DOCS`` texts of it are
 never included. The sample is balanced, so a score is a probability for balanced classes.
 
 Defined results: a null text is an empty one; a text without words scores as the intercept alone;
@@ -109,6 +109,19 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, alpha: float = A
     return weights(np.arange(size))
 
 
+def labelled_sample(labels: DataFrame, key: str, label: str, per_class: int = PER_CLASS) -> DataFrame:
+    """(key, label): a hash sample of about ``per_class`` keys of either label, so that only the texts of these are looked up.
+
+    Its size is bounded by ``per_class``, whatever the table's, so it may be broadcast.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, label).distinct()
+    sizes = {r[label]: r.n for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}  # two rows
+    if not sizes:
+        return rows.limit(0)
+    bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1 << 20, (per_class << 20) // n + 1))])
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < F.element_at(bound, F.col(label)))
+
+
 def train(labelled: DataFrame, text: str, label: str, by: tuple[str, ...] = (), per_class: int = PER_CLASS, min_docs: int = MIN_DOCS, most: int = MOST, group_bytes: int = 1 << 20) -> Weights:
     """Fit on rows whose label is 0 or 1. Text and the columns ``by`` decide the hash sample, so that copies of a text aren't all in it or all out."""
     rows = labelled.where(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"), *by)
