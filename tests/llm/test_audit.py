@@ -89,17 +89,57 @@ def test_whole_groups():
     assert len(seen) == len(set(seen))
 
 
-def test_trie():
-    rng = random.Random(3)
-    words = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 5))).encode() for _ in range(400)]
-    tries, want = [divergence.Trie(), divergence.Trie()], Counter()
-    for i, w in enumerate(words):
-        tries[i % 2].add(w, "xy"[i % 3 == 0], 2, 1)
-        want[w, "xy"[i % 3 == 0]] += 1
-    tries[0].merge(tries[1])
-    walked = list(tries[0].walk())
-    assert [t for t, _ in walked] == sorted(set(words)) and tries[0].leaves == len(walked)
-    assert {(t, s): c for t, cs in walked for s, c in cs.items()} == {k: [2 * n, n] for k, n in want.items()}
+def trie_of(rows, sources=("x", "y")):
+    """A trie of (text, source) rows."""
+    rows = sorted(rows, key=lambda r: r[1])
+    names = sorted({s for _, s in rows} | set(sources))
+    return divergence.Trie.of_texts(pa.array([t for t, _ in rows], pa.string()), np.array([names.index(s) for _, s in rows], np.int64), names)
+
+
+def leaves(trie):
+    return [(t, *row) for t, names, n, docs in trie.walk() for row in sorted(zip(names, n, docs, strict=True))]
+
+
+def counted(rows):
+    n, docs = Counter(), Counter()
+    for text, source in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        n.update((t, source) for t in terms)
+        docs.update((t, source) for t in set(terms))
+    return sorted(((t, s, n[t, s], docs[t, s]) for t, s in n), key=lambda r: (r[0].encode(), r[1]))
+
+
+def random_rows(seed, count=60):
+    rng = random.Random(seed)
+    return [(" ".join("".join(rng.choice("abÉé世-") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, 12))), rng.choice("xyzw")) for _ in range(count)]
+
+
+def test_trie_counts_merges_and_cuts():
+    rows = random_rows(3)
+    whole = trie_of(rows)
+    assert leaves(whole) == counted(rows)
+    parts = [trie_of(rows[i : i + 7]) for i in range(0, len(rows), 7)] + [trie_of([])]
+    assert leaves(divergence.Trie.merged(parts)) == counted(rows)
+    pile = divergence.Pile(20)
+    for part in parts:
+        pile.add(divergence.Trie.unpack(part.pack()))
+    assert leaves(pile.merged()) == counted(rows)
+    for depth in (1, 2, 3, 5, 40):
+        cut = list(whole.subtrees(depth))
+        assert [x for _, _, part in cut for x in leaves(divergence.Trie.unpack(part.pack()))] == counted(rows)
+        assert len({prefix for prefix, _, _ in cut}) == len(cut)
+        for prefix, single, part in cut:
+            terms = [t.encode() for t, *_ in leaves(part)]
+            assert {t[:depth] for t in terms} == {prefix} and single == (len(prefix) < depth)
+    kept = Counter(t for t, _, _, d in counted(rows) for _ in range(d))
+    assert [x[0] for x in leaves(whole.at_least(4))] == [x[0] for x in counted(rows) if kept[x[0]] >= 4]
+
+
+def test_trie_shared_prefixes():
+    trie = trie_of([("a ab abc abd b ü", "x")])
+    assert trie.shared(5).tolist() == [0, 1, 2, 2, 0, 0] and trie.shared(1).tolist() == [0, 1, 1, 1, 0, 0]
+    odd = trie_of([("abc", 's\0;"'), ("abc", "")])
+    assert leaves(divergence.Trie.unpack(odd.pack())) == leaves(odd)
 
 
 def plain_divergence(rows, min_docs, top):
@@ -137,22 +177,25 @@ def test_divergence(spark, min_docs, top):
 
 
 def test_divergence_in_pieces(spark, monkeypatch):
-    """Tries that are emptied often, and walks that compare few terms at once, change nothing."""
-    docs = documents(spark).cache()
-    leaves = divergence.count_terms(docs, "text", "lang", "source", most=3)
+    """Tries that are handed on often, prefixes that are cut deeper, and walks that compare few terms at once, change nothing."""
+    docs = documents(spark).repartition(3).cache()
     whole = divergence.count_terms(docs.coalesce(1), "text", "lang", "source")
-    added = lambda df: sorted(map(tuple, df.groupBy("lang", "term", "source").agg(F.sum("n"), F.sum("docs")).collect()), key=str)
-    assert added(leaves) == added(whole)
-    summed = whole.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where("term is not null")
-    rows = lambda df: sorted((r.lang, r.term, tuple(sorted(zip(r.sources, r.counts, strict=True)))) for r in df.collect())
-    assert rows(divergence.merged_terms(summed, 2, most=2)) == rows(divergence.merged_terms(summed, 2))
-    few = divergence.Walk("en", ["a", "b"], [10, 20], 3, 2)
-    monkeypatch.setattr(divergence, "BLOCK_COUNTERS", 1)
-    for walk in (few, lots := divergence.Walk("en", ["a", "b"], [10, 20], 3, 2)):
-        monkeypatch.setattr(divergence, "BLOCK_COUNTERS", 1 if walk is few else 1000)
+    often = divergence.count_terms(docs, "text", "lang", "source", depth=1, most=1)
+    rows = lambda df, **k: sorted((r.lang, r.term, tuple(sorted(zip(r.sources, r.counts, strict=True)))) for r in divergence.merged_terms(df, 2, **k).collect())
+    want = rows(whole.where("prefix is not null"))
+    deeper = divergence.cut_deeper(often.where("prefix is not null"), 2)
+    assert rows(deeper, most=3) == want and len(want) > 10
+    assert {r.depth for r in deeper.select("depth").distinct().collect()} & {2, 4}
+    crowded = deeper.where("depth is not null").groupBy("lang", "prefix").agg(F.sum("entries").alias("n")).where("n > 2")
+    assert crowded.count() == 0
+    found = []
+    for block in (1, 1000):
+        monkeypatch.setattr(divergence, "BLOCK_COUNTERS", block)
+        walk = divergence.Walk("en", ["a", "b"], [10, 20], 3, 2)
         for term, counts in (("x", [8, 1]), ("y", [1, 18]), ("z", [1, 1])):
             walk.add(term, ["a", "b"], counts)
-    assert few.rows() == lots.rows()
+        found.append(walk.rows())
+    assert found[0] == found[1]
     assert divergence._share(np.array([10**10]), 10**10 + 7)[0] == 1 + 10**9 * (10**10 + 5) // (10**10 + 7)
 
 
