@@ -5,8 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomgraph.operators import access, definitions, graph, propagation
+from loomgraph.functions import tokens
+from loomgraph.operators import access, definitions, graph, layout, propagation, sampling, wordpieces
 from loomgraph.queries import EDGES, WAYS, _edges, query
+from loomgraph.sources import graphstore
+from loomgraph.tables import shared_folder
 
 # control flow: the events of a user are a program, its active days are basic blocks, types of events are variables
 
@@ -161,3 +164,85 @@ def walks_of_an_epoch(spark, sf_dir):
     anchors = graph.load(spark, sf_dir, "supplier")["supplier"].select(graph.node_label("supplier", F.col("s_suppkey")).alias("anchor"))
     tickets = access.ticket_table(_edges(spark, sf_dir), ("nation",))
     return access.walks_at(tickets, access.epoch_order(anchors, "anchor", EPOCH, "e"), "anchor", EACH, STEPS, "e")
+
+
+# stores of graphs: a conversation is a graph, its turns are nodes, edges go on to the next turn and back to the role's last
+
+TALK = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS id, role, length(text) AS size FROM conversations),
+e AS (SELECT conv_id, id AS src, id + 1 AS dst, 'next' AS label FROM t QUALIFY lead(id) OVER (PARTITION BY conv_id ORDER BY id) IS NOT NULL
+      UNION ALL SELECT conv_id, id, lag(id) OVER (PARTITION BY conv_id, role ORDER BY id), 'role' FROM t QUALIFY lag(id) OVER (PARTITION BY conv_id, role ORDER BY id) IS NOT NULL),
+g AS (SELECT conv_id, n.c AS num_nodes, coalesce(m.c, 0) AS num_edges FROM (SELECT conv_id, count(*) AS c FROM t GROUP BY 1) n LEFT JOIN (SELECT conv_id, count(*) AS c FROM e GROUP BY 1) m USING (conv_id)),
+i AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS index, num_nodes, num_edges, CAST(sum(num_nodes) OVER (ORDER BY conv_id) - num_nodes AS BIGINT) AS node_offset, CAST(sum(num_edges) OVER (ORDER BY conv_id) - num_edges AS BIGINT) AS edge_offset FROM g)"""
+PER_BLOCK = 500
+
+
+def _talk(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = graph.load(spark, sf_dir, "conversations")["conversations"]
+    turn = Window.partitionBy("conv_id").orderBy("turn")
+    nodes = rows.select(F.col("conv_id").alias("graph_id"), F.row_number().over(turn).alias("id"), "role", F.length("text").alias("size"))
+    following, role = Window.partitionBy("graph_id").orderBy("id"), Window.partitionBy("graph_id", "role").orderBy("id")
+    ends = nodes.select("graph_id", F.col("id").alias("src"), F.lead("id").over(following).alias("next"), F.lag("id").over(role).alias("role"))
+    edges = [ends.select("graph_id", "src", F.col(c).alias("dst"), F.lit(c).alias("label")).where("dst is not null") for c in ("next", "role")]
+    return nodes.select("graph_id").distinct(), nodes, edges[0].unionByName(edges[1])
+
+
+@query(f"WITH {TALK} SELECT conv_id AS graph_id, index, num_nodes, num_edges, node_offset, edge_offset FROM i")
+def graph_index(spark, sf_dir):
+    return graphstore.graph_index(*_talk(spark, sf_dir), PER_BLOCK).select("graph_id", "index", "num_nodes", "num_edges", "node_offset", "edge_offset")
+
+
+@query(
+    f"""WITH {TALK}, w AS (SELECT index AS draw, CAST(('0x' || substr(md5('w|' || index), 1, 7)) AS BIGINT) % (SELECT count(*) FROM i) AS index FROM i),
+n AS (SELECT draw, sum(size * (id - 1)) AS node_sum FROM w JOIN i USING (index) JOIN t USING (conv_id) GROUP BY 1), m AS (SELECT draw, sum((src - 1) * 7 + dst - 1) AS edge_sum FROM w JOIN i USING (index) JOIN e USING (conv_id) GROUP BY 1)
+SELECT draw, index, conv_id AS graph_id, CAST(node_sum AS BIGINT) AS node_sum, CAST(coalesce(edge_sum, 0) AS BIGINT) AS edge_sum FROM w JOIN i USING (index) JOIN n USING (draw) LEFT JOIN m USING (draw)"""
+)
+def graphs_by_index(spark, sf_dir):
+    """A store is written and as many graphs as it holds are fetched in a drawn order, with replacement."""
+    folder = shared_folder(spark, "store")
+    graphstore.write_store(*_talk(spark, sf_dir), folder, PER_BLOCK)
+    store = graphstore.GraphStore(spark, folder)
+    drawn = F.pmod(sampling.draw(F.lit("w"), F.col("draw").cast("string")), F.lit(len(store)))
+    wanted = store.index().select(F.col("index").alias("draw")).withColumn("index", drawn)
+    found, nodes, edges = store.fetch(wanted)
+    n = nodes.groupBy("draw").agg(F.sum(F.col("size") * F.col("id")).alias("node_sum"))
+    m = edges.groupBy("draw").agg(F.sum(F.col("src") * 7 + F.col("dst")).alias("edge_sum"))
+    return found.join(n, "draw").join(m, "draw", "left").select("draw", "index", "graph_id", "node_sum", F.coalesce("edge_sum", F.lit(0)).alias("edge_sum"))
+
+
+# tokens: every text is lexed, split by kind, given ids and places, and put together again
+
+SPELLINGS = r"regexp_extract_all(text, '#[^\n]*|\"(?:[^\"\\\n]|\\.)*\"|\n|[ \t\r\f\x0B]+|[0-9]+(?:\.[0-9]+)?|[\pL_][\pL\pM\p{Nd}_]*|(?s:.)')"
+RESERVED = ("the", "and", "of", "de", "la", "und", "der")
+
+
+def _spoken(spark, sf_dir):
+    return graph.load(spark, sf_dir, "conversations")["conversations"].select("conv_id", "turn", "text").withColumn("tokens", tokens.lexed(F.col("text")))
+
+
+@query(f"SELECT conv_id, turn, CAST(len({SPELLINGS}) AS BIGINT) AS n_tokens, CAST(len(list_filter({SPELLINGS}, lambda s: s IN {RESERVED})) AS BIGINT) AS n_reserved, sha256(text) AS digest FROM conversations")
+def pieces_by_kind(spark, sf_dir):
+    rows = _spoken(spark, sf_dir).withColumn("tokens", tokens.conditioned(F.col("tokens"), reserved=RESERVED))
+    rows = rows.withColumn("pieces", tokens.pieces(F.col("tokens")))
+    back = F.array_join(tokens.whole_tokens(F.col("pieces").getField("spelling")), "")
+    n_reserved = F.size(F.filter("tokens", lambda t: t.kind == "KEYWORD"))
+    ended = F.size(F.filter("pieces", lambda p: p["last"])).cast("long").alias("n_tokens")
+    return rows.select("conv_id", "turn", ended, n_reserved.cast("long").alias("n_reserved"), F.sha2(back, 256).alias("digest"))
+
+
+@query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
+def layout_from_places(spark, sf_dir):
+    ended = F.concat("tokens", F.array(F.struct(F.lit("").alias("spelling"), F.lit("EOS").alias("kind"))))
+    rows = _spoken(spark, sf_dir).select("conv_id", "turn", F.posexplode(ended).alias("pos", "t")).select("conv_id", "turn", "pos", "t.spelling", "t.kind")
+    placed = layout.placed_tokens(rows, ["conv_id", "turn"]).where("kind not in ('WHITESPACE', 'NEWLINE')")
+    return layout.laid_out(placed.select("conv_id", "turn", "pos", "spelling", "line", "column"), ["conv_id", "turn"]).select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
+def texts_from_wordpieces(spark, sf_dir):
+    rows = _spoken(spark, sf_dir).select("conv_id", "turn", tokens.pieces(F.col("tokens")).getField("spelling").alias("pieces"))
+    vocabulary = wordpieces.build_vocabulary(rows.select(F.explode("pieces").alias("p")), "p", 2000)
+    cut = wordpieces.in_sentences(rows.withColumn("ids", wordpieces.longest_prefixes(vocabulary)("pieces")), ["conv_id", "turn"], "ids", 128)
+    found = wordpieces.texts_of_sentences(cut, ["conv_id", "turn"], vocabulary)
+    return found.select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
