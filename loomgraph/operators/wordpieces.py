@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,37 +51,37 @@ def build_vocabulary(pieces: DataFrame, column: str, size: int, characters: int
     return own + list(dict.fromkeys(c for c in common if c not in known))
 
 
-def longest_prefixes(vocabulary: list[str]):
-    """Column function: ids (places in the vocabulary) of an array of pieces, by longest prefixes from the left."""
+def with_ids(df: DataFrame, pieces: str, vocabulary: list[str], name: str = "ids") -> DataFrame:
+    """Add the ids (places in the vocabulary) of an array of pieces, by longest prefixes from the left; null has none."""
     ids = {token: i for i, token in enumerate(vocabulary)}
     alphabet = frozenset(t for t in vocabulary if len(t) == 1)
     lengths = sorted({len(t) for t in vocabulary}, reverse=True)
+    at = df.columns.index(pieces)
 
     def encode(piece: str) -> list[int]:
-        rest, at, out = escape_piece(piece, alphabet), 0, []
-        while at < len(rest):
-            size = next(n for n in lengths if rest[at : at + n] in ids and at + n <= len(rest))
-            out.append(ids[rest[at : at + size]])
-            at += size
+        rest, start, out = escape_piece(piece, alphabet), 0, []
+        while start < len(rest):
+            size = next(n for n in lengths if start + n <= len(rest) and rest[start : start + n] in ids)
+            out.append(ids[rest[start : start + size]])
+            start += size
         return out
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids_of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        for series in rows:
+        for batch in batches:
             made = []
-            for pieces in series:
-                found: list[int] = []
-                for p in pieces if pieces is not None else ():
+            for found in batch.column(at).to_pylist():
+                row: list[int] = []
+                for p in found or ():
                     if (known := cache.get(p)) is None:
                         if len(cache) >= CACHE:
                             cache.clear()
                         known = cache[p] = encode(p)
-                    found += known
-                made.append(None if pieces is None else found)
-            yield pd.Series(made, index=series.index, dtype=object)
+                    row += known
+                made.append(row)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()))], names=[*batch.schema.names, name])
 
-    return ids_of.asNondeterministic()  # or the planner may move it into a lambda, where it can't run
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def in_sentences(df: DataFrame, group: list[str], ids: str, length: int) -> DataFrame:

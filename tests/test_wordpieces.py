@@ -19,7 +19,7 @@ def texts():
 def made(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts())], "doc int, text string").withColumn("pieces", tokens.pieces(tokens.lexed(F.col("text"))).getField("spelling")).cache()
     vocabulary = wordpieces.build_vocabulary(df.select(F.explode("pieces").alias("p")), "p", 40, characters=24)
-    return df.withColumn("ids", wordpieces.longest_prefixes(vocabulary)("pieces")).cache(), vocabulary
+    return wordpieces.with_ids(df, "pieces", vocabulary).cache(), vocabulary
 
 
 def test_longest_prefixes(made):
