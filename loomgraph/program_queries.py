@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomgraph.functions import tokens
-from loomgraph.operators import access, definitions, graph, layout, propagation, sampling, wordpieces
+from loomgraph.operators import access, dataflow, definitions, graph, layout, pointers, propagation, sampling, tokengraphs, wordpieces
 from loomgraph.queries import EDGES, WAYS, _edges, query
 from loomgraph.sources import graphstore
 from loomgraph.tables import shared_folder
@@ -246,3 +246,78 @@ def texts_from_wordpieces(spark, sf_dir):
     cut = wordpieces.in_sentences(wordpieces.with_ids(rows, "pieces", vocabulary), ["conv_id", "turn"], "ids", 128)
     found = wordpieces.texts_of_sentences(cut, ["conv_id", "turn"], vocabulary)
     return found.select("conv_id", "turn", F.sha2("text", 256).alias("digest"))
+
+
+# token graphs, slots and pointers
+
+KEPT, KINDS = "size >= 60", ("role", "next")
+
+
+@query(
+    f"""WITH {TALK}, k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY id) - 1 AS number FROM t WHERE {KEPT}),
+f AS (SELECT e.conv_id, CASE e.label WHEN 'role' THEN 0 ELSE 2 END AS type, a.number AS src, b.number AS dst FROM e JOIN k a ON a.conv_id = e.conv_id AND a.id = src JOIN k b ON b.conv_id = e.conv_id AND b.id = dst)
+SELECT conv_id AS graph_id, CAST(type AS INT) AS type, CAST(src AS INT) AS src, CAST(dst AS INT) AS dst FROM f UNION ALL SELECT conv_id, CAST(type + 1 AS INT), CAST(dst AS INT), CAST(src AS INT) FROM f"""
+)
+def pruned_graphs(spark, sf_dir):
+    _, nodes, edges = _talk(spark, sf_dir)
+    kept = tokengraphs.pruned(nodes.withColumnRenamed("id", "pos"), F.expr(KEPT))
+    return tokengraphs.renumbered_edges(edges.withColumnRenamed("label", "name"), kept, list(KINDS))
+
+
+SLOTS = 40
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT user_id, event_type FROM events), first AS (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2),
+slot AS (SELECT user_id, event_type, dense_rank() OVER (PARTITION BY user_id ORDER BY first) - 1 AS slot FROM first),
+p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('p|3|' || user_id || '|' || n), n) - 1 AS old, n AS new FROM (SELECT DISTINCT user_id FROM events), (SELECT unnest(range(0, {SLOTS})) AS n))
+SELECT event_id, CAST(slot AS INT) AS slot, CAST(new AS INT) AS new_slot FROM events JOIN slot USING (user_id, event_type) JOIN p ON p.user_id = events.user_id AND old = slot"""
+)
+def permuted_slots(spark, sf_dir):
+    slotted = dataflow.first_seen_ids(graph.load(spark, sf_dir, "events")["events"], ["user_id"], "event_id", "event_type")
+    new = F.element_at(tokengraphs.slot_permutation(F.col("user_id"), 3, SLOTS, "p"), F.col("slot") + 1)
+    return slotted.select("event_id", "slot", new.alias("new_slot"))
+
+
+@query("SELECT CAST(least(max(n), 100) AS BIGINT) AS n_slots FROM (SELECT count(DISTINCT event_type) AS n FROM events GROUP BY user_id)")
+def most_variables(spark, sf_dir):
+    e = graph.load(spark, sf_dir, "events")["events"]
+    return tokengraphs.most_variables(e.select(F.col("user_id").alias("graph_id"), F.col("event_type").alias("variable"))).select(F.col("n_slots").cast("long").alias("n_slots"))
+
+
+POINTED = """v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, CAST(unnest(list_reverse(embedding)) AS DOUBLE) AS y, unnest(range(0, len(embedding))) AS i, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE label END AS error, 20 + vec_id % 45 AS size FROM embeddings),
+l AS (SELECT vec_id, arg_max(i, (x, -i)) AS best, max(x) AS top FROM v WHERE i < size GROUP BY 1),
+e AS (SELECT vec_id, sum(CASE WHEN i = error THEN exp(x - top) ELSE 0 END) / sum(exp(x - top)) AS error_mass FROM v JOIN l USING (vec_id) WHERE i < size GROUP BY 1),
+c AS (SELECT vec_id, max(y) AS top FROM v WHERE (vec_id + i) % 3 = 0 AND vec_id % 50 <> 7 GROUP BY 1),
+t AS (SELECT vec_id, sum(CASE WHEN (vec_id + i) % 9 < 6 AND vec_id % 10 <> 0 THEN exp(y - top) ELSE 0 END) / sum(exp(y - top)) AS target_mass FROM v JOIN c USING (vec_id) WHERE (vec_id + i) % 3 = 0 GROUP BY 1),
+p AS (SELECT vec_id, CAST(error > 0 AS INT) AS buggy, CAST(best = error AS INT) AS hit, error_mass, coalesce(target_mass, 0) AS target_mass FROM (SELECT DISTINCT vec_id, error FROM v) JOIN l USING (vec_id) JOIN e USING (vec_id) LEFT JOIN t USING (vec_id))"""
+
+
+def _pointed(spark, sf_dir):
+    e = graph.load(spark, sf_dir, "embeddings")["embeddings"]
+    places = F.transform("embedding", lambda _, i: i)
+    rows = e.select(
+        "vec_id",
+        F.col("embedding").alias("locations"),
+        F.reverse("embedding").alias("repairs"),
+        (20 + F.col("vec_id") % 45).cast("int").alias("size"),
+        F.when(F.col("vec_id") % 4 == 0, 0).otherwise(F.col("label")).alias("error"),
+        F.when(F.col("vec_id") % 10 != 0, F.filter(places, lambda i: (F.col("vec_id") + i) % 9 < 6)).alias("targets"),
+        F.when(F.col("vec_id") % 50 != 7, F.filter(places, lambda i: (F.col("vec_id") + i) % 3 == 0)).alias("candidates"),
+    )
+    return pointers.pointed(rows, "locations", "repairs", "size", "error", "targets", "candidates")
+
+
+@query(f"WITH {POINTED} SELECT vec_id, buggy, hit, round(error_mass, 8) AS error_mass, round(target_mass, 8) AS target_mass FROM p")
+def pointer_mass(spark, sf_dir):
+    return _pointed(spark, sf_dir).select("vec_id", "buggy", "hit", F.round("error_mass", 8).alias("error_mass"), F.round("target_mass", 8).alias("target_mass"))
+
+
+@query(
+    f"""WITH {POINTED}, q AS (SELECT *, CAST(target_mass >= 0.5 AS INT) AS repaired FROM p)
+SELECT round(avg(-ln(error_mass + 1e-9)), 6) AS location_loss, round(sum(-ln(target_mass + 1e-9) * buggy) / (1e-9 + sum(buggy)), 6) AS target_loss, round(sum(hit * (1 - buggy)) / (1e-9 + sum(1 - buggy)), 6) AS sound_accuracy,
+       round(sum(hit * buggy) / (1e-9 + sum(buggy)), 6) AS location_accuracy, round(sum(repaired * buggy) / (1e-9 + sum(buggy)), 6) AS repair_accuracy, round(sum(hit * repaired * buggy) / (1e-9 + sum(buggy)), 6) AS joint_accuracy FROM q"""
+)
+def pointer_metrics(spark, sf_dir):
+    found = pointers.pointer_metrics(_pointed(spark, sf_dir))
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
