@@ -20,6 +20,7 @@ import re
 import unicodedata
 from itertools import chain
 
+import ahocorasick
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -88,7 +89,10 @@ class TrieBpe:
         one = {t: t for t in self.ids}  # one object for all uses of a token
         part = lambda token: one.setdefault(t := self.symbols(token), t)
         self.ranks = {(part(a), part(b)): r for r, (a, b) in enumerate(merges)}
-        self.ends = {one.get(t[i:], t[i:]) for t in self.ids for i in range(len(t))}
+        self.suffixes = ahocorasick.Automaton()  # finds the tokens that end at each place of a word, longest first
+        for token in self.ids:
+            self.suffixes.add_word(token, token)
+        self.suffixes.make_automaton()
         self.rest()
 
     def rest(self) -> None:
@@ -162,7 +166,7 @@ class TrieBpe:
         """
         out: dict[str, list[str]] = {}
         states: list[str] = []
-        previous = ""
+        pairs, edges, previous = self.pairs, self.edges, ""
         for word in sorted(words):
             branch = 0
             for a, b in zip(previous, word, strict=False):
@@ -170,9 +174,23 @@ class TrieBpe:
                     break
                 branch += 1
             del states[branch:]
-            for depth in range(branch + 1, len(word) + 1):
-                states.append(self.last_token(word, depth, states))
-            tokens, at = [], len(word)
+            size = branch
+            for end, token in self.suffixes.iter(word):
+                if end < size or (edges[token] if token in edges else self.spines(token)) is None:
+                    continue  # the state is known, or merging never makes the token
+                start = end + 1 - len(token)
+                if start:
+                    before = states[start - 1]
+                    fits = pairs.get((before, token))
+                    if not (self.compatible(before, token) if fits is None else fits):
+                        continue
+                if end > size:
+                    break
+                states.append(token)
+                size += 1
+            if size < len(word):
+                raise ValueError("a byte has no token")
+            tokens, at = [], size
             while at:
                 tokens.append(states[at - 1])
                 at -= len(tokens[-1])
@@ -180,21 +198,15 @@ class TrieBpe:
             previous = word
         return out
 
-    def last_token(self, word: str, depth: int, states: list[str]) -> str:
-        fits, ends, ids = [], self.ends, self.ids
-        for start in range(depth - 1, -1, -1):
-            tail = word[start:depth]
-            if tail not in ends:
-                break
-            if tail in ids:
-                fits.append((start, tail))
-        for start, token in reversed(fits):
-            if self.spines(token) and (not start or self.compatible(states[start - 1], token)):
-                return token
-        raise ValueError("a byte has no token")
-
     def words(self, chunk: str) -> list[str | int]:
         """Words of a chunk without white space as symbols; special strings as their ids."""
+        if chunk and chunk.isascii():  # letters alone, or with a mark behind them, are the common case and need no pattern
+            if chunk.isalpha():
+                text = chunk.lower()
+                return [text[:-1] + chr(256 + ord(text[-1]))]
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                text = chunk[:-1].lower()
+                return [text[:-1] + chr(256 + ord(text[-1])), chr(256 + ord(chunk[-1]))]
         out: list[str | int] = []
         for part in self.special_re.split(chunk) if self.special_re else [chunk]:
             if part in self.special:
@@ -257,7 +269,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", diges
                 rows.append((n, _sha(ids), _sha(decoded)) if digests else (n, [*map(int, ids.split())], decoded))
         return [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
 
-    return with_columns(docs, text, fields, work, after=lambda: encoder(tokenizer).rest())
+    return with_columns(docs, text, fields, work)
 
 
 def _sha(text: str) -> str:
