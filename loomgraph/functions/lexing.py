@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import keyword
 import re
@@ -84,25 +85,20 @@ def greedy_bpe(vocabulary: list[str], unknown: int = 0):
     token; where no entry of two or more characters fits, one character is. What the vocabulary lacks is ``unknown``.
     """
     ids = {token: i for i, token in enumerate(vocabulary)}
-    by_start: dict[str, list[str]] = {}
-    for token in sorted(ids, key=len, reverse=True):
-        by_start.setdefault(token[:2], []).append(token)
-
-    def encode(word: str, cache: dict[str, list[int]]) -> list[int]:
-        if word not in cache:
-            rest, out = word + "#", []
-            while rest:
-                fits = (t for t in by_start.get(rest[:2], ()) if rest.startswith(t) and len(rest) - len(t) != 1)
-                hit = rest if len(rest) == 2 else next(fits, rest[0])
-                out.append(ids.get(hit, unknown))
-                rest = rest[len(hit) :]
-            cache[word] = out
-        return cache[word]
+    lengths = sorted({len(t) for t in vocabulary if len(t) > 1}, reverse=True)
+
+    def encode(word: str) -> list[int]:
+        closed, at, out = word + "#", 0, []
+        while (left := len(closed) - at) > 0:
+            size = 2 if left == 2 else next((n for n in lengths if n <= left and n != left - 1 and closed[at : at + n] in ids), 1)
+            out.append(ids.get(closed[at : at + size], unknown))
+            at += size
+        return out
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids_of(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[str, list[int]] = {}
+        known = functools.lru_cache(1 << 16)(encode)
         for series in words:
-            yield series.map(lambda w: None if w is None else encode(w, cache))
+            yield series.map(lambda w: None if w is None else known(w))
 
     return ids_of

@@ -9,10 +9,10 @@ is made for the neighbours that aren't drawn, and a hub's tickets are spread ove
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import both_ways, cut, running_offsets
+from loomgraph.operators.graph import both_ways, cut, running_offsets, running_within
 from loomgraph.operators.walks import FAVOURED_WEIGHT, weight_of
 
 #: Hexadecimal digits of a hash that make a number: 52 bits.
@@ -24,20 +24,6 @@ def number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, DIGITS), 16, 10).cast("long")
 
 
-def running_within(df: DataFrame, group: str, order: str, size: str) -> DataFrame:
-    """Add low, the sum of ``size`` over the rows of the group before this one, and total, that of the group.
-
-    Ranges of (group, order) are summed up apart and shifted by the sums before them, so a group may hold most rows.
-    """
-    ranged = cut(df.repartitionByRange(group, order).withColumn("__range", F.spark_partition_id()))
-    sums = ranged.groupBy("__range", group).agg(F.sum(size).alias("__sum"))
-    whole = Window.partitionBy(group)
-    before = F.sum("__sum").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
-    sums = sums.select("__range", group, before.alias("__before"), F.sum("__sum").over(whole).alias("total"))
-    within = F.sum(size).over(Window.partitionBy("__range", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    return ranged.withColumn("__within", within).join(sums, ["__range", group]).withColumn("low", F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
-
-
 def ticket_table(edges: DataFrame, favoured: tuple[str, ...], heavy: int = FAVOURED_WEIGHT) -> DataFrame:
     """(src, ticket, dst, labels, total, dst_total): a row for each ticket of each neighbour; totals are the numbers of tickets of src and dst."""
     ways = both_ways(edges.select("src", "dst", "label")).groupBy("src", "dst").agg(F.array_sort(F.collect_set("label")).alias("labels"))

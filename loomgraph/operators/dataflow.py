@@ -45,6 +45,19 @@ def redefinitions(df: DataFrame, block: list[str], order: list[str], node: str)
     return ranked.join(after, [*block, "rank"]).select(*block, "definition", "redefinition")
 
 
+def reached_in_order(df: DataFrame, group: list[str], order: list[str], key: list[str], node: str) -> DataFrame:
+    """(origin, n_reached): how many later nodes of its group each node reaches up to and with the next one of its key.
+
+    What :func:`loomgraph.operators.graph.reaches_without` counts where the only way on is the next
+    node, from places alone: no pair of nodes is made. Nodes that reach nothing are left out.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    stop = F.lead("__place").over(Window.partitionBy(*group, *key).orderBy("__place"))
+    last = F.max("__place").over(Window.partitionBy(*group))
+    placed = df.withColumn("__place", place).withColumn("__stop", F.coalesce(stop, last))
+    return placed.select(F.col(node).alias("origin"), (F.col("__stop") - F.col("__place")).cast("long").alias("n_reached")).where("n_reached > 0")
+
+
 def numbered_by_location(df: DataFrame, group: list[str], line: str, column: str, tie: str) -> DataFrame:
     """Add number from 1 by (line, column), missing ones as 0."""
     order = [F.coalesce(F.col(line), F.lit(0)), F.coalesce(F.col(column), F.lit(0)), F.col(tie)]

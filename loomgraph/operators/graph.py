@@ -60,8 +60,9 @@ def tuple_nodes(relations: dict[str, DataFrame], columns: dict[str, list[str]])
         vals = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns[rel]])
         parts.append(df.select("graph_id", F.lit(rel).alias("rel"), vals.alias("vals")))
     rows = reduce(DataFrame.unionByName, parts).groupBy("graph_id", "rel", "vals").agg(F.count("*").alias("dup_count"))
-    number = F.row_number().over(Window.partitionBy("graph_id").orderBy("rel", "vals"))
-    return rows.select("graph_id", number.cast("long").alias("id"), "rel", "vals", F.concat("rel", F.lit("("), F.array_join("vals", ","), F.lit(")")).alias("label"), "dup_count")
+    ordered = rows.withColumns({"__order": F.struct("rel", "vals"), "__one": F.lit(1)})
+    numbered = running_within(ordered, "graph_id", "__order", "__one")  # one graph may hold all rows
+    return numbered.select("graph_id", (F.col("low") + 1).cast("long").alias("id"), "rel", "vals", F.concat("rel", F.lit("("), F.array_join("vals", ","), F.lit(")")).alias("label"), "dup_count")
 
 
 def tuple_edges(nodes: DataFrame, spec: DataFrame, links: list[Link], columns: dict[str, list[str]], multiplicity: bool = False) -> DataFrame:
@@ -205,6 +206,20 @@ def running_offsets(df: DataFrame, order: str, size: str, name: str = "offset")
     return ranged.withColumn("__within", within).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__within")).drop("__part", "__before", "__within")
 
 
+def running_within(df: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """Add low, the sum of ``size`` over the rows of the group before this one, and total, that of the group.
+
+    Ranges of (group, order) are summed up apart and shifted by the sums before them, so a group may hold most rows.
+    """
+    ranged = cut(df.repartitionByRange(group, order).withColumn("__range", F.spark_partition_id()))
+    sums = ranged.groupBy("__range", group).agg(F.sum(size).alias("__sum"))
+    whole = Window.partitionBy(group)
+    before = F.sum("__sum").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
+    sums = sums.select("__range", group, before.alias("__before"), F.sum("__sum").over(whole).alias("total"))
+    within = F.sum(size).over(Window.partitionBy("__range", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
+    return ranged.withColumn("__within", within).join(sums, ["__range", group]).withColumn("low", F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+
+
 def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:
     """(node, ancestor, distance) closure of (node, parent), by rounds until nothing is added, or up to ``depth``."""
     step = parents.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))

@@ -13,10 +13,29 @@ from loomgraph.operators.graph import ancestors
 
 #: The kind of a name expression, and of contexts that store.
 NAME_KIND, STORE_KINDS = 18, (1, 4, 5)
+#: Classes of exceptions.
 EXCEPTIONS = (
-    "ArithmeticError AssertionError AttributeError Exception HTTPError IOError ImportError IndexError KeyError KeyboardInterrupt NameError NotImplementedError OSError ObjectDoesNotExist "
-    "RuntimeError StopIteration TypeError UnicodeDecodeError ValidationError ValueError"
-).split()
+    "ArithmeticError",
+    "AssertionError",
+    "AttributeError",
+    "Exception",
+    "HTTPError",
+    "IOError",
+    "ImportError",
+    "IndexError",
+    "KeyError",
+    "KeyboardInterrupt",
+    "NameError",
+    "NotImplementedError",
+    "OSError",
+    "ObjectDoesNotExist",
+    "RuntimeError",
+    "StopIteration",
+    "TypeError",
+    "UnicodeDecodeError",
+    "ValidationError",
+    "ValueError",
+)
 
 
 def stored_names(exprs: DataFrame, contexts: DataFrame) -> DataFrame:

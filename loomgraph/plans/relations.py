@@ -65,78 +65,171 @@ TEXT = {"name", "message"}
 TEXT_IDS = {"py_strs", "py_numbers", "py_bytes"}
 NUMBER = {"kind", "idx", "index", "beginLine", "beginColumn", "endLine", "endColumn"}
 
-#: Expression and statement kinds by number.
+#: Expression and statement kinds by number.
 EXPRESSION_KINDS = (
-    "Attribute BinaryExpr BoolExpr Bytes Call ClassExpr Compare Dict DictComp Ellipsis FunctionExpr GeneratorExp IfExp ImportExpr ImportMember Lambda List ListComp Name Num Repr Set "
-    "SetComp Slice Starred Str Subscript Tuple UnaryExpr Yield YieldFrom TemplateDottedNotation Filter PlaceHolder Await Fstring FormattedValue AssignExpr SpecialOperation"
-).split()
+    "Attribute",
+    "BinaryExpr",
+    "BoolExpr",
+    "Bytes",
+    "Call",
+    "ClassExpr",
+    "Compare",
+    "Dict",
+    "DictComp",
+    "Ellipsis",
+    "FunctionExpr",
+    "GeneratorExp",
+    "IfExp",
+    "ImportExpr",
+    "ImportMember",
+    "Lambda",
+    "List",
+    "ListComp",
+    "Name",
+    "Num",
+    "Repr",
+    "Set",
+    "SetComp",
+    "Slice",
+    "Starred",
+    "Str",
+    "Subscript",
+    "Tuple",
+    "UnaryExpr",
+    "Yield",
+    "YieldFrom",
+    "TemplateDottedNotation",
+    "Filter",
+    "PlaceHolder",
+    "Await",
+    "Fstring",
+    "FormattedValue",
+    "AssignExpr",
+    "SpecialOperation",
+)
 STATEMENT_KINDS = (
-    "Assert Assign AugAssign Break Continue Delete ExceptStmt Exec Expr_stmt For Global If Import ImportStar Nonlocal Pass Print Raise Return Try While With TemplateWrite AnnAssign"
-).split()
+    "Assert",
+    "Assign",
+    "AugAssign",
+    "Break",
+    "Continue",
+    "Delete",
+    "ExceptStmt",
+    "Exec",
+    "Expr_stmt",
+    "For",
+    "Global",
+    "If",
+    "Import",
+    "ImportStar",
+    "Nonlocal",
+    "Pass",
+    "Print",
+    "Raise",
+    "Return",
+    "Try",
+    "While",
+    "With",
+    "TemplateWrite",
+    "AnnAssign",
+)
 
-#: Links: a column (by position) of the first relation holds the first column of each of the others.
-POINTS_TO = {
-    "locations_ast.1": "py_Modules",
-    "py_Classes.1": "py_exprs",
-    "py_Functions.1": "py_exprs",
-    "py_boolops.2": "py_exprs",
-    "py_bytes.1": "py_exprs",
-    "py_cmpop_lists.1": "py_exprs",
-    "py_cmpops.2": "py_cmpop_lists",
-    "py_comprehension_lists.1": "py_exprs",
-    "py_comprehensions.1": "py_comprehension_lists",
-    "py_dict_item_lists.1": "py_exprs",
-    "py_dict_items.2": "py_dict_item_lists",
-    "py_exception_successors.0": "py_flow_bb_node",
-    "py_exception_successors.1": "py_flow_bb_node",
-    "py_expr_contexts.2": "py_exprs",
-    "py_expr_lists.1": "py_Functions py_comprehensions py_exprs py_stmts",
-    "py_exprs.2": "py_Functions py_dict_items py_expr_lists py_exprs py_parameter_lists py_stmts",
-    "py_false_successors.0": "py_flow_bb_node",
-    "py_false_successors.1": "py_flow_bb_node",
-    "py_flow_bb_node.1": "py_Classes py_Functions py_Modules py_comprehensions py_dict_items py_exprs py_stmts",
-    "py_flow_bb_node.2": "py_flow_bb_node",
-    "py_idoms.0": "py_flow_bb_node",
-    "py_idoms.1": "py_flow_bb_node",
-    "py_ints.1": "py_exprs",
-    "py_locations.0": "locations_ast",
-    "py_locations.1": "py_comprehensions py_dict_items py_stmts",
-    "py_numbers.1": "py_exprs",
-    "py_operators.2": "py_exprs",
-    "py_parameter_lists.1": "py_Functions",
-    "py_scope_flow.0": "py_flow_bb_node",
-    "py_scope_flow.1": "py_Classes py_Functions py_Modules",
-    "py_scope_location.0": "locations_ast",
-    "py_scope_location.1": "py_Classes py_Functions py_Modules",
-    "py_scopes.0": "py_exprs py_stmts",
-    "py_scopes.1": "py_Classes py_Functions py_Modules",
-    "py_ssa_defn.0": "py_ssa_var",
-    "py_ssa_defn.1": "py_flow_bb_node",
-    "py_ssa_phi.0": "py_ssa_var",
-    "py_ssa_phi.1": "py_ssa_var",
-    "py_ssa_use.0": "py_flow_bb_node",
-    "py_ssa_use.1": "py_ssa_var",
-    "py_ssa_var.1": "variable",
-    "py_stmt_lists.1": "py_Classes py_Functions py_Modules py_stmts",
-    "py_stmts.2": "py_stmt_lists",
-    "py_str_lists.1": "py_stmts",
-    "py_strs.1": "py_Classes py_Functions py_Modules py_dict_items py_exprs py_str_lists",
-    "py_successors.0": "py_flow_bb_node",
-    "py_successors.1": "py_flow_bb_node",
-    "py_true_successors.0": "py_flow_bb_node",
-    "py_true_successors.1": "py_flow_bb_node",
-    "py_unaryops.2": "py_exprs",
-    "py_variables.0": "variable",
-    "py_variables.1": "py_exprs",
-    "variable.1": "py_Classes py_Functions py_Modules",
-}
-OTHER_LINKS = ["py_locations.1 <-> py_strs.1", "call_graph.0 <-> call_graph.1"]
+#: The links, a column (by position) of one relation and one of another.
+LINKS = """
+locations_ast.1 <-> py_Modules.0
+py_Classes.1 <-> py_exprs.0
+py_Functions.1 <-> py_exprs.0
+py_boolops.2 <-> py_exprs.0
+py_bytes.1 <-> py_exprs.0
+py_cmpop_lists.1 <-> py_exprs.0
+py_cmpops.2 <-> py_cmpop_lists.0
+py_comprehension_lists.1 <-> py_exprs.0
+py_comprehensions.1 <-> py_comprehension_lists.0
+py_dict_item_lists.1 <-> py_exprs.0
+py_dict_items.2 <-> py_dict_item_lists.0
+py_exception_successors.0 <-> py_flow_bb_node.0
+py_exception_successors.1 <-> py_flow_bb_node.0
+py_expr_contexts.2 <-> py_exprs.0
+py_expr_lists.1 <-> py_Functions.0
+py_expr_lists.1 <-> py_comprehensions.0
+py_expr_lists.1 <-> py_exprs.0
+py_expr_lists.1 <-> py_stmts.0
+py_exprs.2 <-> py_Functions.0
+py_exprs.2 <-> py_dict_items.0
+py_exprs.2 <-> py_expr_lists.0
+py_exprs.2 <-> py_exprs.0
+py_exprs.2 <-> py_parameter_lists.0
+py_exprs.2 <-> py_stmts.0
+py_false_successors.0 <-> py_flow_bb_node.0
+py_false_successors.1 <-> py_flow_bb_node.0
+py_flow_bb_node.1 <-> py_Classes.0
+py_flow_bb_node.1 <-> py_Functions.0
+py_flow_bb_node.1 <-> py_Modules.0
+py_flow_bb_node.1 <-> py_comprehensions.0
+py_flow_bb_node.1 <-> py_dict_items.0
+py_flow_bb_node.1 <-> py_exprs.0
+py_flow_bb_node.1 <-> py_stmts.0
+py_flow_bb_node.2 <-> py_flow_bb_node.0
+py_idoms.0 <-> py_flow_bb_node.0
+py_idoms.1 <-> py_flow_bb_node.0
+py_ints.1 <-> py_exprs.0
+py_locations.0 <-> locations_ast.0
+py_locations.1 <-> py_comprehensions.0
+py_locations.1 <-> py_dict_items.0
+py_locations.1 <-> py_stmts.0
+py_locations.1 <-> py_strs.1
+py_numbers.1 <-> py_exprs.0
+py_operators.2 <-> py_exprs.0
+py_parameter_lists.1 <-> py_Functions.0
+py_scope_flow.0 <-> py_flow_bb_node.0
+py_scope_flow.1 <-> py_Classes.0
+py_scope_flow.1 <-> py_Functions.0
+py_scope_flow.1 <-> py_Modules.0
+py_scope_location.0 <-> locations_ast.0
+py_scope_location.1 <-> py_Classes.0
+py_scope_location.1 <-> py_Functions.0
+py_scope_location.1 <-> py_Modules.0
+py_scopes.0 <-> py_exprs.0
+py_scopes.0 <-> py_stmts.0
+py_scopes.1 <-> py_Classes.0
+py_scopes.1 <-> py_Functions.0
+py_scopes.1 <-> py_Modules.0
+py_ssa_defn.0 <-> py_ssa_var.0
+py_ssa_defn.1 <-> py_flow_bb_node.0
+py_ssa_phi.0 <-> py_ssa_var.0
+py_ssa_phi.1 <-> py_ssa_var.0
+py_ssa_use.0 <-> py_flow_bb_node.0
+py_ssa_use.1 <-> py_ssa_var.0
+py_ssa_var.1 <-> variable.0
+py_stmt_lists.1 <-> py_Classes.0
+py_stmt_lists.1 <-> py_Functions.0
+py_stmt_lists.1 <-> py_Modules.0
+py_stmt_lists.1 <-> py_stmts.0
+py_stmts.2 <-> py_stmt_lists.0
+py_str_lists.1 <-> py_stmts.0
+py_strs.1 <-> py_Classes.0
+py_strs.1 <-> py_Functions.0
+py_strs.1 <-> py_Modules.0
+py_strs.1 <-> py_dict_items.0
+py_strs.1 <-> py_exprs.0
+py_strs.1 <-> py_str_lists.0
+py_successors.0 <-> py_flow_bb_node.0
+py_successors.1 <-> py_flow_bb_node.0
+py_true_successors.0 <-> py_flow_bb_node.0
+py_true_successors.1 <-> py_flow_bb_node.0
+py_unaryops.2 <-> py_exprs.0
+py_variables.0 <-> variable.0
+py_variables.1 <-> py_exprs.0
+variable.1 <-> py_Classes.0
+variable.1 <-> py_Functions.0
+variable.1 <-> py_Modules.0
+call_graph.0 <-> call_graph.1
+"""
 
 
 def program_links() -> list[Link]:
     """All links between the relations of a program, with column names."""
-    texts = [f"{left} <-> {right}.0" for left, many in POINTS_TO.items() for right in many.split()]
-    return by_position([link(t) for t in [*texts, *OTHER_LINKS]], COLUMNS)
+    return by_position([link(line) for line in LINKS.strip().splitlines()], COLUMNS)
 
 
 def schema(relation: str) -> T.StructType:

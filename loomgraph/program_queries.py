@@ -9,6 +9,7 @@ from loomgraph.functions import tokens
 from loomgraph.operators import access, dataflow, definitions, graph, layout, pointers, propagation, sampling, tokengraphs, wordpieces
 from loomgraph.queries import EDGES, WAYS, _edges, query
 from loomgraph.sources import graphstore
+from loomgraph.streaming import batching
 from loomgraph.tables import shared_folder
 
 # control flow: the events of a user are a program, its active days are basic blocks, types of events are variables
@@ -321,3 +322,33 @@ SELECT round(avg(-ln(error_mass + 1e-9)), 6) AS location_loss, round(sum(-ln(tar
 def pointer_metrics(spark, sf_dir):
     found = pointers.pointer_metrics(_pointed(spark, sf_dir))
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+# reachability over branching graphs, and batches from buffers
+
+
+@query(
+    f"""WITH RECURSIVE {TALK}, f AS (SELECT conv_id, least(src, dst) AS src, greatest(src, dst) AS dst FROM e),
+h AS (SELECT a.conv_id, a.id AS origin, b.id AS node FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.role = b.role AND b.size < a.size),
+r(conv_id, origin, node) AS (SELECT conv_id, src, dst FROM f UNION SELECT r.conv_id, origin, dst FROM r JOIN f ON f.conv_id = r.conv_id AND f.src = r.node
+   WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.conv_id = r.conv_id AND h.origin = r.origin AND h.node = r.node))
+SELECT conv_id AS graph_id, CAST(origin AS INT) AS origin, count(*) AS n_reached FROM r GROUP BY 1, 2"""
+)
+def reached_before_shorter(spark, sf_dir):
+    """Turns that a turn leads to (by the next turn or the role's next) without passing a shorter one of its role."""
+    _, nodes, edges = _talk(spark, sf_dir)
+    at = lambda c: F.struct("graph_id", F.col(c).alias("id"))
+    ahead = edges.select(F.struct("graph_id", F.least("src", "dst").alias("id")).alias("src"), F.struct("graph_id", F.greatest("src", "dst").alias("id")).alias("dst"))
+    starts = nodes.select(at("id").alias("origin"), at("id").alias("node"))
+    other = nodes.select("graph_id", "role", F.col("id").alias("other"), F.col("size").alias("other_size"))
+    stops = nodes.join(other, ["graph_id", "role"]).where("other_size < size").select(at("id").alias("origin"), at("other").alias("node"))
+    found = graph.reaches_without(ahead, starts, stops).groupBy("origin").agg(F.count("*").alias("n_reached"))
+    return found.select("origin.graph_id", F.col("origin.id").alias("origin"), "n_reached")
+
+
+@query()
+def buffered_batches(spark, sf_dir):
+    docs = graph.load(spark, sf_dir, "documents")["documents"].select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), " ")).alias("length"))
+    parts = max(8, docs.select("doc_id").count() // 2000)  # buffers grow in number with the table, not in size
+    keyed = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
+    return batching.buffered_batches(keyed, "part", "doc_id", "doc_id", "length", batching.Rules(longest=None))

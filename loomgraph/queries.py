@@ -304,11 +304,8 @@ s AS (SELECT a.event_id AS origin, a.user_id, a.p, min(b.p) AS stop FROM n a LEF
 SELECT origin, count(*) AS n_reached FROM s JOIN n USING (user_id) WHERE n.p > s.p AND n.p <= coalesce(s.stop, 1000000000) GROUP BY origin"""
 )
 def reaches_without_redefinition(spark, sf_dir):
-    e = graph.load(spark, sf_dir, "events")["events"].select("event_id", "user_id", "event_type", "ts")
-    flow = dataflow.next_token(e, ["user_id"], ["ts", "event_id"], "event_id").where("next_token is not null").select(F.col("event_id").alias("src"), F.col("next_token").alias("dst"))
-    starts = e.select(F.col("event_id").alias("origin"), F.col("event_id").alias("node"))
-    stops = dataflow.redefinitions(e, ["user_id", "event_type"], ["ts", "event_id"], "event_id").select(F.col("definition").alias("origin"), F.col("redefinition").alias("node"))
-    return graph.reaches_without(flow, starts, stops).groupBy("origin").agg(F.count("*").alias("n_reached"))
+    e = graph.load(spark, sf_dir, "events")["events"]
+    return dataflow.reached_in_order(e, ["user_id"], ["ts", "event_id"], ["event_type"], "event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(l_linenumber, 0), coalesce(l_suppkey, 0), l_partkey, l_extendedprice) AS INT) AS number FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice FROM lineitem)")
@@ -478,7 +475,7 @@ def full_batches(spark, sf_dir):
 @query()
 def length_bucketed_batches(spark, sf_dir):
     docs = graph.load(spark, sf_dir, "documents")["documents"].select("doc_id", "n_chars")
-    return sampling.length_bucketed_batches(docs, "doc_id", "n_chars", 100_000, parts=8)
+    return sampling.length_bucketed_batches(docs, "doc_id", "n_chars", 100_000, parts=max(8, docs.count() // 2000))
 
 
 @query("SELECT event_type AS label, CAST(row_number() OVER (ORDER BY event_type) - 1 AS BIGINT) AS id FROM (SELECT DISTINCT event_type FROM events)")

@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import access
+from loomgraph.operators import access, graph
 
 EDGES = [("a(1)", "b(1)", "x"), ("a(2)", "b(1)", "x"), ("b(1)", "c(1)", "y"), ("b(1)", "c(1)", "z"), ("c(1)", "a(1)", "x"), ("d(1)", "d(2)", "x")]
 
@@ -56,7 +56,7 @@ def test_odds(spark):
 
 def test_running_within(spark):
     df = spark.createDataFrame([("g" if i % 3 else "h", f"{i:03}", i % 5) for i in range(300)], "grp string, name string, size int")
-    rows = access.running_within(df, "grp", "name", "size").collect()
+    rows = graph.running_within(df, "grp", "name", "size").collect()
     for g in "gh":
         own = sorted((r for r in rows if r.grp == g), key=lambda r: r.name)
         assert [r.low for r in own] == [sum(x.size for x in own[:i]) for i in range(len(own))] and {r.total for r in own} == {sum(r.size for r in own)}
