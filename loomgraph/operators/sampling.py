@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import running_offsets
+from loomgraph.operators.graph import running_offsets, running_within
 
 
 def draw(*parts: Column | str) -> Column:
@@ -22,7 +22,8 @@ def first_by_hash(df: DataFrame, group: list[str], key: str, count: int, seed: s
 def class_draws(df: DataFrame, label: str, key: str, draws: int, seed: str = "0") -> DataFrame:
     """(draw, class, key): draws with replacement, class first (each as likely), then a member of it."""
     spark = df.sparkSession
-    members = df.select(F.col(label).alias("class"), F.col(key).alias("key")).withColumn("n", F.row_number().over(Window.partitionBy("class").orderBy("key")))
+    members = running_within(df.select(F.col(label).alias("class"), F.col(key).alias("key"), F.lit(1).alias("one")), "class", "key", "one")  # a class may hold most rows
+    members = members.select("class", "key", (F.col("low") + 1).cast("int").alias("n"))
     classes = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("size")).withColumn("c", F.row_number().over(Window.orderBy("class")))
     total = classes.agg(F.count("*").alias("classes"))
     turns = spark.range(1, draws + 1).withColumnRenamed("id", "draw").join(F.broadcast(total))

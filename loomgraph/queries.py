@@ -194,17 +194,30 @@ def random_walks(spark, sf_dir):
     return _walks(spark, sf_dir)
 
 
-@query()
+PATHS = f"""w AS ({_walk_sql()}),
+a AS (SELECT anchor, walk, list(node ORDER BY step) AS nodes, list(label ORDER BY step) FILTER (WHERE label IS NOT NULL) AS labels FROM w GROUP BY 1, 2 HAVING count(*) > 1)"""
+SLOTS = 24
+
+
+@query(
+    f"""WITH {PATHS}, f AS (SELECT anchor, nodes, labels, min(walk) AS walk FROM a GROUP BY 1, 2, 3), n AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY walk) AS number FROM f QUALIFY number <= {SLOTS}),
+h AS (SELECT anchor, count(*) AS held FROM n GROUP BY 1), s AS (SELECT anchor, held, CAST(unnest(range(1, {SLOTS + 1})) AS INT) AS slot FROM h),
+c AS (SELECT anchor, slot, CASE WHEN slot <= held THEN slot ELSE CAST(('0x' || substr(md5('0|' || anchor || '|' || slot), 1, 7)) AS BIGINT) % held + 1 END AS number FROM s)
+SELECT anchor, slot, walk, array_to_string(nodes, ' ') AS nodes, array_to_string(labels, ' ') AS labels FROM c JOIN n USING (anchor, number)"""
+)
 def padded_walks(spark, sf_dir):
-    return walks.padded_walks(walks.as_arrays(_walks(spark, sf_dir)), 24)
+    padded = walks.padded_walks(walks.as_arrays(_walks(spark, sf_dir)), SLOTS)
+    return padded.select("anchor", "slot", "walk", F.array_join("nodes", " ").alias("nodes"), F.array_join("labels", " ").alias("labels"))
 
 
-@query()
+@query(
+    f"""WITH {PATHS} SELECT anchor, walk, CAST(to_json(struct_pack(node_types := list_transform(nodes, lambda x: split_part(x, '(', 1)), node_values := list_transform(nodes, lambda x: regexp_extract(x, '^[^(]*\\((.*)\\)$', 1)), edges := labels)) AS VARCHAR) AS trajectory FROM a"""
+)
 def walk_trajectories(spark, sf_dir):
     return walks.trajectories(walks.as_arrays(_walks(spark, sf_dir))).select("anchor", "walk", F.to_json("trajectory").alias("trajectory"))
 
 
-@query()
+@query(f"WITH {PATHS} SELECT anchor, node, count(*) AS places FROM (SELECT anchor, unnest(nodes) AS node FROM a) GROUP BY 1, 2 HAVING count(*) >= 2")
 def walk_used_nodes(spark, sf_dir):
     return walks.used_nodes(walks.as_arrays(_walks(spark, sf_dir)))
 
@@ -457,7 +470,12 @@ def stratified_sample(spark, sf_dir):
     return sampling.first_by_hash(graph.load(spark, sf_dir, "labels")["labels"], ["quality"], "doc_id", 20).select("doc_id", "quality")
 
 
-@query()
+@query(
+    """WITH m AS (SELECT quality AS class, doc_id AS key, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS n FROM labels),
+c AS (SELECT class, max(n) AS size, row_number() OVER (ORDER BY class) AS c FROM m GROUP BY 1),
+d AS (SELECT draw, CAST(('0x' || substr(md5('0|class|' || draw), 1, 7)) AS BIGINT) % (SELECT count(*) FROM c) + 1 AS c, CAST(('0x' || substr(md5('0|member|' || draw), 1, 7)) AS BIGINT) AS member FROM (SELECT unnest(range(1, 51)) AS draw))
+SELECT draw, class, key FROM d JOIN c USING (c) JOIN m USING (class) WHERE n = member % size + 1"""
+)
 def class_draws(spark, sf_dir):
     return sampling.class_draws(graph.load(spark, sf_dir, "labels")["labels"], "quality", "doc_id", 50)
 
@@ -605,10 +623,10 @@ def nations_of_both(spark, sf_dir):
     return t["customer"].select(F.col("c_nationkey").alias("k")).intersect(t["supplier"].select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def parts_never_bulk(spark, sf_dir):
     t = graph.load(spark, sf_dir, "part", "lineitem")
-    return t["part"].select(F.col("p_partkey").alias("k")).subtract(t["lineitem"].where("l_quantity > 30").select(F.col("l_partkey").alias("k")))
+    return t["part"].select(F.col("p_partkey").alias("k")).subtract(t["lineitem"].where("l_quantity > 49").select(F.col("l_partkey").alias("k")))
 
 
 # windows on events (extra)
