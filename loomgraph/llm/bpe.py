@@ -29,7 +29,7 @@ from loomgraph.llm.common import by_bytes, forget, with_columns
 
 #: Words of one generation of a cache, and chunks by their share; two generations are held.
 CACHE_WORDS, CHUNK_SHARE = 120_000, 5 / 6
-CACHE_PAIRS = 300_000
+CACHE_PAIRS = 100_000
 NEVER = 1 << 60
 END = "</w>"
 #: White space of the Unicode property White_Space; Python's own split also takes U+001C to U+001F.

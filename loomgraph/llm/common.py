@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Bytes of text of an Arrow batch that are worked on at once.
@@ -29,6 +29,15 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def bounded_batches(spark: SparkSession, size: int = PART_BYTES) -> None:
+    """Let Arrow batches of the session hold ``size`` bytes at most (a larger row alone), on both sides of a worker's pipe.
+
+    The setting's own bound is 64 MB; what a batch takes outside the heap is kept for the next one.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(setting, str(size))
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` with :func:`release` before and after a partition."""
 
@@ -133,6 +142,7 @@ def with_columns(
         if after is not None:
             after()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(trimmed(run), schema)
 
 
