@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bpe, decontam, jaccard_join, pii, quality
+from loomgraph.llm.common import bounded_batches
 from loomgraph.llm.queries import WORD_BPE
 from loomgraph.tables import drop_folder, settle, shared_folder
 
@@ -31,6 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     smallest hash. A row without doc_id goes if a document with one is in its group; in a group
     of such rows alone, one stays by the same rule. Rows without words all stay, one for each doc_id.
     """
+    bounded_batches(spark)
     order = F.struct("text", F.xxhash64(*[c for c in docs.columns if c != "text"]))
     row = F.struct(*docs.columns).alias("__row")
     found = settle(jaccard_join.similar_documents(docs, classes_too=True), "similar")
