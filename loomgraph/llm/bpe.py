@@ -253,10 +253,17 @@ def encoder(path: str, cache_words: int = CACHE_WORDS) -> TrieBpe:
     return _encoders[path]
 
 
-def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 21, cache_words: int = CACHE_WORDS) -> DataFrame:
+def forget_encoders() -> None:
+    """Drop the worker's encoders with all that they remember."""
+    _encoders.clear()
+
+
+def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", digests: bool = True, group_bytes: int = 1 << 21, cache_words: int = CACHE_WORDS, keep: bool = True) -> DataFrame:
     """Add n_tokens and, with ``digests``, ids_sha256 and decoded_sha256; else ids (array) and decoded (string).
 
-    ``cache_words`` bounds what a worker remembers between groups of texts; it changes cost only.
+    ``cache_words`` bounds what a worker remembers between groups of texts; without ``keep`` a worker
+    forgets the vocabulary too at the end of a partition, as more workers may live than work at a time.
+    Both change cost only.
     """
     fields = [("n_tokens", T.LongType())]
     fields += [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())] if digests else [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
@@ -269,7 +276,7 @@ def bpe_encode_decode(docs: DataFrame, tokenizer: str, text: str = "text", diges
                 rows.append((n, _sha(ids), _sha(decoded)) if digests else (n, [*map(int, ids.split())], decoded))
         return [list(x) for x in zip(*rows, strict=True)] or [[], [], []]
 
-    return with_columns(docs, text, fields, work)
+    return with_columns(docs, text, fields, work, after=None if keep else forget_encoders)
 
 
 def _sha(text: str) -> str:
