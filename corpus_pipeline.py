@@ -60,9 +60,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode every text; documents with their numbers of tokens and digests.
 
-    With smaller caches than alone, as workers of the earlier stages are still there.
+    With smaller caches than alone, and nothing kept from one partition to the next, as workers of the earlier stages are still there.
     """
-    return bpe.bpe_encode_decode(docs, WORD_BPE, group_bytes=1 << 20, cache_words=40_000)
+    return bpe.bpe_encode_decode(docs, WORD_BPE, group_bytes=1 << 20, cache_words=40_000, keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
