@@ -46,6 +46,8 @@ def test_bpe(spark, docs):
             ids = tok.encode(row.text or "", add_special_tokens=False).ids
             assert (row.n_tokens, row.ids_sha256) == (len(ids), sha(" ".join(map(str, ids))))
             assert row.decoded_sha256 == sha(tok.decode(ids, skip_special_tokens=False))
+    forgetful = bpe.bpe_encode_decode(docs, WORD, group_bytes=1000, cache_words=5, keep=False)
+    assert sorted(map(str, forgetful.collect())) == sorted(map(str, bpe.bpe_encode_decode(docs, WORD).collect()))
     real = bpe.bpe_encode_decode(docs, WORD, digests=False).where("text = 'one two three'").collect()[0]
     assert real.ids == tok.encode("one two three", add_special_tokens=False).ids
     assert bpe.bpe_encode_decode(empty(spark), WORD).count() == 0
