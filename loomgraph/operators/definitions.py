@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators.dataflow import rank_in_block, redefinitions
-from loomgraph.operators.graph import cut
+from loomgraph.operators.graph import cut, reaches_without
 from loomgraph.operators.quantified import ignorable_name
 
 PLACE = ["graph_id", "variable", "block"]
@@ -94,3 +94,17 @@ def unused_names(definitions: DataFrame, successors: DataFrame, variables: DataF
     names = marked.groupBy("graph_id", "expr").agg(F.bool_and(F.coalesce("good", F.lit(False))).alias("unused"), F.min("variable").alias("variable"), tuple_.alias("tuple"))
     broken = names.where("not unused and tuple is not null").select("graph_id", "tuple").distinct()
     return names.where("unused").join(broken, ["graph_id", "tuple"], "left_anti").select("graph_id", "expr", "variable")
+
+
+def leaked_uses(iterations: DataFrame, uses: DataFrame, flow: DataFrame) -> DataFrame:
+    """(graph_id, node, use): uses of a comprehension's variable outside it, which control reaches after the comprehension.
+
+    ``iterations`` and ``uses`` have (graph_id, name, scope, node); a use counts if name and scope are
+    the same and its node is reached from the comprehension's over one or more steps of ``flow`` (graph_id, src, dst).
+    """
+    at = lambda c: F.struct("graph_id", F.col(c).alias("node"))
+    pairs = iterations.join(uses.select("graph_id", "name", "scope", F.col("node").alias("use")), ["graph_id", "name", "scope"])
+    starts = pairs.select(at("node").alias("origin"), at("node").alias("node")).distinct()
+    reached = reaches_without(flow.select(at("src").alias("src"), at("dst").alias("dst")), starts, starts.limit(0))
+    reached = reached.select("origin.graph_id", F.col("origin.node").alias("node"), F.col("node.node").alias("use"))
+    return pairs.join(reached, ["graph_id", "node", "use"], "left_semi").select("graph_id", "node", "use").distinct()

@@ -187,6 +187,14 @@ def grouped_edges(edges: DataFrame, by: str = "graph_id") -> DataFrame:
     return lists.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "pairs")))).alias("edges"))
 
 
+def edges_by_target(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst, label) with number, their place from 0 by (dst, src, label); equal ones follow each other. Numbered range by range."""
+    ordered = edges.withColumns({"__order": F.struct("dst", "src", "label"), "__one": F.lit(1)}).groupBy("src", "dst", "label", "__order").agg(F.sum("__one").alias("__n"))
+    placed = running_offsets(ordered, "__order", "__n", "__first")
+    each = F.explode(F.sequence(F.col("__first"), F.col("__first") + F.col("__n") - 1)).alias("number")
+    return placed.select("src", "dst", "label", each)
+
+
 def csr_offsets(edges: DataFrame) -> DataFrame:
     """(node, degree, offset) for nodes with outgoing edges, offsets in node order.
 

@@ -352,3 +352,8 @@ def buffered_batches(spark, sf_dir):
     parts = max(8, docs.select("doc_id").count() // 2000)  # buffers grow in number with the table, not in size
     keyed = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     return batching.buffered_batches(keyed, "part", "doc_id", "doc_id", "length", batching.Rules(longest=None))
+
+
+@query(f"WITH {EDGES} SELECT src, dst, label, row_number() OVER (ORDER BY dst, src, label) - 1 AS number FROM edges")
+def edges_by_target(spark, sf_dir):
+    return graph.edges_by_target(_edges(spark, sf_dir))

@@ -103,3 +103,12 @@ def test_unused_names(spark):
     got = {r.expr for r in definitions.unused_names(defs, flow, variables, read, dumping, shared).collect()}
     assert got == {10, 13, 24, 25}
     assert {r.expr for r in definitions.unused_names(defs, flow, variables, read, dumping).collect()} == got | {22}
+
+
+def test_leaked_uses(spark):
+    # graph 1: 1 -> 2 -> 3 -> 4 -> 2 (loop), 5 apart; graph 2 has the same node numbers without flow
+    flow = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 3, 4), (1, 4, 2)], "graph_id int, src int, dst int")
+    iterations = spark.createDataFrame([(1, "i", 7, 2), (1, "j", 7, 3), (2, "i", 7, 2)], "graph_id int, name string, scope int, node int")
+    uses = spark.createDataFrame([(1, "i", 7, 4), (1, "i", 7, 2), (1, "i", 7, 1), (1, "i", 8, 3), (1, "i", 7, 5), (1, "j", 7, 4), (1, "k", 7, 4), (2, "i", 7, 4)], "graph_id int, name string, scope int, node int")
+    got = sorted(tuple(r) for r in definitions.leaked_uses(iterations, uses, flow).collect())
+    assert got == [(1, 2, 2), (1, 2, 4), (1, 3, 4)]
