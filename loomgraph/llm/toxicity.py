@@ -8,8 +8,10 @@ weights). Scoring hashes whole texts in Arrow batches, drops nearly all features
 and adds up the weights of the others.
 
 Training reads labelled rows only: a bounded hash sample of about ``PER_CLASS`` texts of either label,
-chosen by key before any text is read (only these texts leave their place), whose features are made on the executors; coordinates found in fewer than ``MIN_DOCS`` texts of it are
-never included. The sample is balanced, so a score is a probability for balanced classes.
+chosen by key before any text is read, so only these texts leave their place. Their features are
+made on the executors; the distinct hashes of these texts, four bytes each, reach the driver.
+Coordinates found in fewer than ``MIN_DOCS`` texts of the sample are never included. The sample is
+balanced, so a score is a probability for balanced classes.
 
 Defined results: a null text is an empty one; a text without words scores as the intercept alone;
 without any learned row the score is 0.5; a text of any length is scored whole; repeated rows are
