@@ -6,6 +6,9 @@ value, at a position of its basic block. Blocks are linked by rows (graph_id, bl
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +19,74 @@ from loomgraph.operators.quantified import ignorable_name
 PLACE = ["graph_id", "variable", "block"]
 #: Kinds of statements and expressions whose names count as assignments.
 ASSIGNING = ("Assign", "AugAssign", "Tuple")
+#: Most rows (definitions by block, links of blocks) of a graph that is searched in one group.
+AT_ONCE = 100_000
 #: Rounds after which the table of what was reached is made one.
 TOGETHER = 16
 
 
-def reached_blocks(definitions: DataFrame, successors: DataFrame) -> DataFrame:
+def reached_blocks(definitions: DataFrame, successors: DataFrame, defining_only: bool = False) -> DataFrame:
     """(graph_id, variable, origin, block): blocks that control reaches from a defining block without another definition on the way.
 
     Only variables with two or more definitions take part. A block that defines the variable is
     reached but not passed, so a search never goes beyond the nearest definitions, and only the
-    first and last definition of a block matter to it; loops end as nothing is reached twice.
+    first and last definition of a block matter to it; loops end as nothing is reached twice. With
+    ``defining_only`` blocks that don't define the variable are left out.
+
+    Graphs of up to ``AT_ONCE`` rows are searched where their rows meet, in one shuffle; larger ones
+    in rounds of joins.
     """
     defining = cut(definitions.groupBy(*PLACE).agg(F.count("*").alias("n")))
+    steps = cut(successors.select("graph_id", "block", "next").distinct())
+    rows = defining.select("graph_id").unionByName(steps.select("graph_id")).groupBy("graph_id").agg(F.count("*").alias("rows"))
+    large = cut(rows.where(F.col("rows") > AT_ONCE).select("graph_id"))
+    if large.isEmpty():
+        return _searched_at_once(defining, steps, defining_only)
+    rest = lambda df, how: df.join(F.broadcast(large), "graph_id", how)
+    found = _searched_in_rounds(rest(defining, "left_semi"), rest(steps, "left_semi"))
+    if defining_only:
+        found = found.join(rest(defining, "left_semi").select(*PLACE), PLACE, "left_semi")
+    return _searched_at_once(rest(defining, "left_anti"), rest(steps, "left_anti"), defining_only).unionByName(found)
+
+
+def _searched_at_once(defining: DataFrame, steps: DataFrame, defining_only: bool) -> DataFrame:
+    """The search of :func:`reached_blocks` in graphs that are whole in a group."""
+    kinds = dict(defining.dtypes)
+    schema = f"graph_id {kinds['graph_id']}, variable {kinds['variable']}, origin {kinds['block']}, block {kinds['block']}"
+
+    def search(defined: pa.Table, flow: pa.Table) -> pa.Table:
+        onward, holds, several = defaultdict(list), defaultdict(set), Counter()
+        for block, after in zip(flow["block"].to_pylist(), flow["next"].to_pylist(), strict=True):
+            if after is not None:
+                onward[block].append(after)
+        for variable, block, n in zip(defined["variable"].to_pylist(), defined["block"].to_pylist(), defined["n"].to_pylist(), strict=True):
+            several[variable] += n
+            if block is not None:
+                holds[variable].add(block)
+        out: list[tuple] = []
+        for variable, halts in holds.items():
+            for origin in halts if variable is not None and several[variable] > 1 else ():
+                seen, ahead = set(), [origin]
+                while ahead:
+                    for block in onward.get(ahead.pop(), ()):
+                        if block not in seen:
+                            seen.add(block)
+                            if block not in halts:
+                                ahead.append(block)
+                out += [(variable, origin, block) for block in (seen & halts if defining_only else seen)]
+        graph = defined["graph_id"].slice(0, 1).to_pylist() * len(out)
+        columns = [graph, *map(list, zip(*out, strict=True))] if out else [[]] * 4
+        types = [defined.schema.field(c).type if defined.num_columns else pa.null() for c in ("graph_id", "variable", "block", "block")]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["graph_id", "variable", "origin", "block"])
+
+    known = defining.where("graph_id is not null").groupBy("graph_id")
+    return known.cogroup(steps.where("graph_id is not null").groupBy("graph_id")).applyInArrow(search, schema)
+
+
+def _searched_in_rounds(defining: DataFrame, steps: DataFrame) -> DataFrame:
+    """The search of :func:`reached_blocks`, a step of all open blocks in each round."""
     several = defining.groupBy("graph_id", "variable").agg(F.sum("n").alias("n")).where("n > 1")
     starts = defining.join(several.select("graph_id", "variable"), ["graph_id", "variable"], "left_semi")
-    steps = cut(successors.select("graph_id", "block", "next").distinct())
     halts = defining.select(*PLACE)
     frontier = starts.select("graph_id", "variable", F.col("block").alias("origin"), "block")
     seen, rounds, keys = None, 0, ["graph_id", "variable", "origin", "block"]
@@ -56,7 +112,7 @@ def all_redefinitions(definitions: DataFrame, successors: DataFrame) -> DataFram
     ranked = rank_in_block(definitions, PLACE, ["position"]).select(*PLACE, "node", "is_first", "is_last")
     last = ranked.where("is_last").select("graph_id", "variable", F.col("block").alias("origin"), F.col("node").alias("definition"))
     first = ranked.where("is_first").select(*PLACE, F.col("node").alias("redefinition"))
-    across = last.join(reached_blocks(definitions, successors), ["graph_id", "variable", "origin"]).join(first, PLACE)
+    across = last.join(reached_blocks(definitions, successors, defining_only=True), ["graph_id", "variable", "origin"]).join(first, PLACE)
     return inside.unionByName(across.where("definition <> redefinition").select("graph_id", "definition", "redefinition")).distinct()
 
 

@@ -112,3 +112,19 @@ def test_leaked_uses(spark):
     uses = spark.createDataFrame([(1, "i", 7, 4), (1, "i", 7, 2), (1, "i", 7, 1), (1, "i", 8, 3), (1, "i", 7, 5), (1, "j", 7, 4), (1, "k", 7, 4), (2, "i", 7, 4)], "graph_id int, name string, scope int, node int")
     got = sorted(tuple(r) for r in definitions.leaked_uses(iterations, uses, flow).collect())
     assert got == [(1, 2, 2), (1, 2, 4), (1, 3, 4)]
+
+
+def test_search_at_once_and_in_rounds_agree(spark, monkeypatch):
+    """Graphs whole in a group and graphs searched in rounds reach the same blocks; nulls are never reached."""
+    rows = [(g, f"n{g}-{i}", "abc"[(i * 7 + g) % 3] if i != 5 else None, (i * i + g) % 11 if i != 8 else None, i) for g in range(6) for i in range(14)]
+    defs = spark.createDataFrame([*rows, (None, "x", "a", 1, 1), (7, "y", "a", 1, 1), (7, "z", "a", 1, 2)], "graph_id long, node string, variable string, block long, position int")
+    flow = [(g, b, n) for g in range(6) for b in range(11) for n in {(b + 1) % 11, (b * 3 + g) % 11}] + [(0, 3, None), (None, 1, 1), (9, 1, 1), (7, 1, 1)]
+    flow = spark.createDataFrame(flow, "graph_id long, block long, next long")
+    results = []
+    for limit in (definitions.AT_ONCE, 30, 0):
+        monkeypatch.setattr(definitions, "AT_ONCE", limit)
+        results.append({(r.graph_id, r.variable, r.origin, r.block) for r in definitions.reached_blocks(defs, flow).where("block is not null").collect()})
+        results.append({tuple(r) for r in definitions.reached_blocks(defs, flow, defining_only=True).collect()})
+    assert results[0] and results[::2] == [results[0]] * 3 and results[1::2] == [results[1]] * 3
+    at = {(r.graph_id, r.variable, r.block) for r in defs.collect()}
+    assert results[1] == {r for r in results[0] if (r[0], r[1], r[3]) in at}
