@@ -128,3 +128,9 @@ def test_search_at_once_and_in_rounds_agree(spark, monkeypatch):
     assert results[0] and results[::2] == [results[0]] * 3 and results[1::2] == [results[1]] * 3
     at = {(r.graph_id, r.variable, r.block) for r in defs.collect()}
     assert results[1] == {r for r in results[0] if (r[0], r[1], r[3]) in at}
+
+
+def test_unused_names_in_rounds_too(spark, monkeypatch):
+    """The names found don't depend on how graphs are searched."""
+    monkeypatch.setattr(definitions, "AT_ONCE", 0)
+    test_unused_names(spark)
