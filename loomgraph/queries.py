@@ -265,8 +265,8 @@ def maybe_redefined(spark, sf_dir):
 @query("SELECT s_nationkey, count(*) AS n FROM supplier JOIN customer ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal GROUP BY 1")
 def computed_column_join(spark, sf_dir):
     t = graph.load(spark, sf_dir, "supplier", "customer")
-    pairs = t["supplier"].join(t["customer"], (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal")))
-    return pairs.groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    customers = t["customer"].select(F.col("c_nationkey").alias("s_nationkey"), F.col("c_acctbal").alias("s_acctbal"))
+    return quantified.pairs_below(t["supplier"], customers, "s_nationkey", "s_acctbal")
 
 
 # ordered relations
