@@ -135,3 +135,22 @@ def test_layout_round_trip(frame):
     first = frame.where("doc = 0").first().text
     assert got[0] == first
     assert sys.version_info >= (3, 10) and layout.laid_out(placed.limit(0), ["doc"]).count() == 0
+
+
+def test_lexers_hold_a_part_of_a_batch(spark, monkeypatch):
+    """Tokens of a batch become Arrow values part by part, with the results of the plain functions."""
+    import pyarrow as pa
+
+    from loomgraph.functions import lexing
+
+    sizes, plain = [], lexing.pa.array
+    monkeypatch.setattr(lexing.pa, "array", lambda rows, kind: sizes.append(len(rows)) or plain(rows, kind))
+    monkeypatch.setattr(lexing, "PART", 20)
+    texts = plain(["x = 1", None, "", "def f(): pass\n", "a b" * 20, "(", "y"])
+    got = lexing._in_parts(texts, lexing.lossless_pieces, pa.list_(pa.string()))
+    assert got.to_pylist() == [None if t is None else lexing.lossless_pieces(t) for t in texts.to_pylist()] and sizes == [5, 2]
+    monkeypatch.undo()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i int, t string")
+    rows = df.select("t", lexing.lexed_python("t").alias("k"), lexing.lossless_tokens("t").alias("p")).collect()
+    for r in rows:
+        assert (r.k, r.p) == (None, None) if r.t is None else ([tuple(x) for x in r.k], r.p) == (lexing.python_tokens(r.t), lexing.lossless_pieces(r.t))
