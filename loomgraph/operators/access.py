@@ -17,6 +17,8 @@ from loomgraph.operators.walks import FAVOURED_WEIGHT, weight_of
 
 #: Hexadecimal digits of a hash that make a number: 52 bits.
 DIGITS = 13
+#: Bits by which the tickets that a step draws are told from others before they are joined: 8 MB.
+BITS = 1 << 26
 
 
 def number(*parts: Column | str) -> Column:
@@ -40,6 +42,16 @@ def epoch_order(samples: DataFrame, key: str, epoch: int, seed: str = "0") -> Da
     return ordered.select(F.lit(epoch).cast("long").alias("epoch"), "position", key)
 
 
+def _near(tickets: DataFrame, going: DataFrame) -> DataFrame:
+    """The tickets (node, ticket) that walks have drawn, and a few others: a bitmap of their hashes, of at most ``BITS`` bits, spares the rest the join."""
+    place = lambda df, node: df.withColumn("__bit", F.pmod(F.xxhash64(node, F.col("ticket").cast("long")), F.lit(BITS)))
+    marks = place(going.select("node", "ticket"), "node").groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
+    rows = place(tickets, "src").withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(marks), "__bucket")
+    byte = F.conv(F.hex(F.substring("__marks", F.floor(F.bitmap_bit_position("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte.cast("long"), F.pmod(F.bitmap_bit_position("__bit"), F.lit(8)).cast("int")) == 1).select(tickets.columns)
+
+
 def walks_at(tickets: DataFrame, places: DataFrame, anchor: str, walks: int, steps: tuple[int, int], seed: str = "0") -> DataFrame:
     """(epoch, position, walk, step, node, label): ``walks`` walks from the anchor at each place (epoch, position, anchor).
 
@@ -58,7 +70,7 @@ def walks_at(tickets: DataFrame, places: DataFrame, anchor: str, walks: int, ste
     for step in range(1, high + 1):
         going = now.where((F.col("length") >= step) & F.col("total").isNotNull()).select(*at, "length", "node", "used", "total")
         going = going.withColumn("ticket", F.pmod(drawn(F.lit(str(step)), F.lit("node")), F.col("total")))
-        taken = going.join(tickets.select(F.col("src").alias("node"), "ticket", "dst", "labels", "dst_total"), ["node", "ticket"])
+        taken = going.join(_near(tickets, going).select(F.col("src").alias("node"), "ticket", "dst", "labels", "dst_total"), ["node", "ticket"])
         taken = taken.withColumn("label", F.get("labels", F.pmod(drawn(F.lit(str(step)), F.lit("edge")), F.size("labels")).cast("int")))
         taken = taken.withColumn("name", F.concat_ws(" ", F.least("node", "dst"), F.greatest("node", "dst"), "label"))
         taken = taken.withColumn("moved", ~F.array_contains("used", F.col("name")))

@@ -91,3 +91,14 @@ def test_stream_stopped_and_started_again(spark, tmp_path):
         names = [r.anchor for r in access.epoch_order(samples, "anchor", epoch, "s").orderBy("position").collect()]
         want |= {(epoch, position, w, *row) for w in (1, 2) for row in plain_walk("s", epoch, position, w, names[position], 1, 3)}
     assert got == want
+
+
+def test_few_tickets_meet_the_walks(spark, monkeypatch):
+    """Before the join tickets that no walk has drawn are left out, and none that one has."""
+    tickets = spark.range(20_000).selectExpr("'n' || id div 4 as src", "id % 4 as ticket", "'m' || id as dst")
+    going = spark.range(300).selectExpr("'n' || id * 7 as node", "id % 4 as ticket")
+    wanted = {(r.node, r.ticket) for r in going.collect()}
+    near = {(r.src, r.ticket) for r in access._near(tickets, going).collect()}
+    assert wanted <= near and len(near) < 310
+    monkeypatch.setattr(access, "BITS", 8)
+    assert wanted <= {(r.src, r.ticket) for r in access._near(tickets, going).collect()}
