@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.text import MAPPINGS, SENTINEL, unsanitize
+from loomgraph.operators.graph import cut
 
 END = "_"
 #: What escaping itself needs.
@@ -43,6 +44,7 @@ def build_vocabulary(pieces: DataFrame, column: str, size: int, characters: int
     What comes to the driver is bounded by the two numbers. Characters that are left out are spelled by their numbers.
     """
     counts = pieces.groupBy(F.col(column).alias("piece")).agg(F.count("*").alias("n")).where(F.length("piece") > 0)
+    counts = cut(counts)
     letters = counts.select(F.explode(F.split("piece", "")).alias("c"), "n").where("c <> ''").groupBy("c").agg(F.sum("n").alias("n"))
     alphabet = [r.c for r in letters.orderBy(F.desc("n"), "c").limit(characters).collect()]
     own = [*OWN, *[c for c in alphabet if c not in OWN]]

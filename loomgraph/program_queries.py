@@ -242,7 +242,7 @@ def layout_from_places(spark, sf_dir):
 
 @query("SELECT conv_id, turn, sha256(text) AS digest FROM conversations")
 def texts_from_wordpieces(spark, sf_dir):
-    rows = _spoken(spark, sf_dir).select("conv_id", "turn", tokens.pieces(F.col("tokens")).getField("spelling").alias("pieces"))
+    rows = graph.cut(_spoken(spark, sf_dir).select("conv_id", "turn", tokens.pieces(F.col("tokens")).getField("spelling").alias("pieces")))
     vocabulary = wordpieces.build_vocabulary(rows.select(F.explode("pieces").alias("p")), "p", 2000)
     cut = wordpieces.in_sentences(wordpieces.with_ids(rows, "pieces", vocabulary), ["conv_id", "turn"], "ids", 128)
     found = wordpieces.texts_of_sentences(cut, ["conv_id", "turn"], vocabulary)

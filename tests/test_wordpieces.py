@@ -72,3 +72,16 @@ def test_next_whole_token_of_a_cut_sequence(spark, made):
         assert [r.token for r in got if r.complete] == row.t[:whole] and sum(not r.complete for r in got) == (n not in ends)
         if whole:
             assert (got[0].token, got[0].ids) == (row.t[0], ends[0])
+
+
+def test_pieces_are_made_once_for_a_vocabulary(spark):
+    """Characters and common pieces come from one count, so what makes the pieces runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def piece(i):
+        made.add(1)
+        return f"p{i % 7}"
+
+    found = wordpieces.build_vocabulary(spark.range(50).select(piece.asNondeterministic()("id").alias("p")), "p", 20)
+    assert made.value == 50 and "p3_" in found
