@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.dataflow import rank_in_block, redefinitions
@@ -116,6 +116,67 @@ def all_redefinitions(definitions: DataFrame, successors: DataFrame) -> DataFram
     return inside.unionByName(across.where("definition <> redefinition").select("graph_id", "definition", "redefinition")).distinct()
 
 
+def unreplaced_definitions(definitions: DataFrame, successors: DataFrame) -> DataFrame:
+    """Definitions (with all columns) whose node is no definition in :func:`all_redefinitions`; rows without graph_id are left out.
+
+    A graph of up to ``AT_ONCE`` rows is searched where its rows meet, each definition until it meets
+    another one, so only what is never replaced leaves the group and no pair does. Larger graphs are
+    searched as in :func:`reached_blocks`.
+    """
+    known = definitions.where("graph_id is not null")
+    steps = cut(successors.select("graph_id", "block", "next").distinct())
+    rows = known.select("graph_id").unionByName(steps.select("graph_id")).groupBy("graph_id").agg(F.count("*").alias("rows"))
+    large = cut(rows.where(F.col("rows") > AT_ONCE).select("graph_id"))
+    if large.isEmpty():
+        return _unreplaced_at_once(known, steps)
+    rest = lambda df, how: df.join(F.broadcast(large), "graph_id", how)
+    replaced = all_redefinitions(rest(known, "left_semi"), rest(steps, "left_semi")).select("graph_id", F.col("definition").alias("node")).distinct()
+    found = rest(known, "left_semi").join(replaced, ["graph_id", "node"], "left_anti").select(*definitions.columns)
+    return _unreplaced_at_once(rest(known, "left_anti").select(*definitions.columns), rest(steps, "left_anti")).unionByName(found)
+
+
+def _unreplaced_at_once(definitions: DataFrame, steps: DataFrame) -> DataFrame:
+    """The search of :func:`unreplaced_definitions` in graphs that are whole in a group."""
+    names, of_block = definitions.columns, Window.partitionBy(*PLACE)
+    ranked = definitions.withColumn("__rank", F.rank().over(of_block.orderBy("position")))
+    ranked = ranked.withColumns({"__first": F.col("__rank") == 1, "__last": F.col("__rank") == F.max("__rank").over(of_block)}).drop("__rank")
+
+    def search(defined: pa.Table, flow: pa.Table) -> pa.Table:
+        onward, firsts, others, replaced = defaultdict(list), defaultdict(set), defaultdict(set), set()
+        for block, after in zip(flow["block"].to_pylist(), flow["next"].to_pylist(), strict=True):
+            if after is not None:
+                onward[block].append(after)
+        nodes = defined["node"].to_pylist()
+        rows = list(zip(defined["variable"].to_pylist(), defined["block"].to_pylist(), nodes, defined["__first"].to_pylist(), defined["__last"].to_pylist(), strict=True))
+        rows = [r for r in rows if r[0] is not None and r[1] is not None]
+        for variable, block, node, first, last in rows:
+            if first:
+                firsts[variable, block].add(node)
+                others[variable].add(node)
+            if not last:
+                replaced.add(node)
+
+        def meets_another(variable, block, node) -> bool:
+            seen, ahead = set(), [block]
+            while ahead:
+                for after in onward.get(ahead.pop(), ()):
+                    if after not in seen:
+                        seen.add(after)
+                        halts = firsts.get((variable, after))
+                        if halts is None:
+                            ahead.append(after)
+                        elif not halts <= {node, None}:
+                            return True
+            return False
+
+        for variable, block, node, _, last in rows:
+            if last and node not in replaced and not others[variable] <= {node, None} and meets_another(variable, block, node):
+                replaced.add(node)
+        return defined.select(names).filter(pa.array([node is None or node not in replaced for node in nodes], pa.bool_()))
+
+    return ranked.groupBy("graph_id").cogroup(steps.where("graph_id is not null").groupBy("graph_id")).applyInArrow(search, definitions.schema)
+
+
 def unread_definitions(definitions: DataFrame, variables: DataFrame, read: DataFrame, dumping: DataFrame) -> DataFrame:
     """Definitions (with their scope) whose value is read nowhere.
 
@@ -131,7 +192,11 @@ def unread_definitions(definitions: DataFrame, variables: DataFrame, read: DataF
 
 def relevant_definitions(definitions: DataFrame) -> DataFrame:
     """Definitions (with name, parent_kind, decorated) that are assignments to a name not meant to be unused."""
-    return definitions.where(F.col("parent_kind").isin(*ASSIGNING) & ~ignorable_name(F.col("name")) & ~F.coalesce(F.col("decorated"), F.lit(False)))
+    return definitions.where(_relevant())
+
+
+def _relevant():
+    return F.col("parent_kind").isin(*ASSIGNING) & ~ignorable_name(F.col("name")) & ~F.coalesce(F.col("decorated"), F.lit(False))
 
 
 def unused_names(definitions: DataFrame, successors: DataFrame, variables: DataFrame, read: DataFrame, dumping: DataFrame, shared: DataFrame | None = None) -> DataFrame:
@@ -141,13 +206,14 @@ def unused_names(definitions: DataFrame, successors: DataFrame, variables: DataF
     that other scopes rebind. A name in a tuple (parent_kind Tuple, parent) counts only if all names
     of the tuple do.
     """
-    replaced = all_redefinitions(definitions, successors).select("graph_id", F.col("definition").alias("node")).distinct()
-    good = relevant_definitions(unread_definitions(definitions, variables, read, dumping)).join(replaced, ["graph_id", "node"], "left_anti")
+    lean = definitions.select(*PLACE, "node", "position", "scope", _relevant().alias("relevant"))
+    good = unread_definitions(unreplaced_definitions(lean, successors).where("relevant"), variables, read, dumping)
     if shared is not None:
         good = good.join(shared.select("graph_id", "variable"), ["graph_id", "variable"], "left_anti")
     marked = definitions.join(good.select("graph_id", "node", F.lit(True).alias("good")), ["graph_id", "node"], "left")
     tuple_ = F.max(F.when(F.col("parent_kind") == "Tuple", F.col("parent")))
     names = marked.groupBy("graph_id", "expr").agg(F.bool_and(F.coalesce("good", F.lit(False))).alias("unused"), F.min("variable").alias("variable"), tuple_.alias("tuple"))
+    names = cut(names.where("unused or tuple is not null"))  # read twice
     broken = names.where("not unused and tuple is not null").select("graph_id", "tuple").distinct()
     return names.where("unused").join(broken, ["graph_id", "tuple"], "left_anti").select("graph_id", "expr", "variable")
 

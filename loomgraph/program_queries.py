@@ -35,11 +35,13 @@ def _control_flow(spark, sf_dir):
     from pyspark.sql import Window
 
     events = graph.load(spark, sf_dir, "events")["events"]
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    defs = events.select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("node"), F.col("event_type").alias("variable"), F.to_date("ts").alias("block"), F.row_number().over(order).alias("position"), "value")
+    defs = events.select(F.col("user_id").alias("graph_id"), F.col("event_id").alias("node"), F.col("event_type").alias("variable"), F.to_date("ts").alias("block"), "ts", "value")
+    # placed by graph_id, the name that later steps group by, so that they find the rows where they are
+    defs = defs.withColumn("position", F.row_number().over(Window.partitionBy("graph_id").orderBy("ts", "node"))).drop("ts")
     days = defs.groupBy("graph_id", "block").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(Window.partitionBy("graph_id").orderBy("block")))
-    ahead = F.array(F.col("i") + 1, F.when(F.col("n") % 2 == 0, F.col("i") + 2), F.when(F.col("i") % 5 == 0, F.col("i") - 3))
-    flow = days.select("graph_id", "block", F.explode(ahead).alias("i")).join(days.select("graph_id", "i", F.col("block").alias("next")), ["graph_id", "i"])
+    by = Window.partitionBy("graph_id").orderBy("block")
+    ahead = F.array(F.lead("block").over(by), F.when(F.col("n") % 2 == 0, F.lead("block", 2).over(by)), F.when(F.col("i") % 5 == 0, F.lag("block", 3).over(by)))
+    flow = days.select("graph_id", "block", ahead.alias("ahead")).select("graph_id", "block", F.explode("ahead").alias("next")).where("next is not null")
     return defs, flow.select("graph_id", "block", "next").distinct()
 
 

@@ -1,6 +1,7 @@
 """Redefinitions across basic blocks and unused names, against a plain walk over graphs with loops."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -134,3 +135,33 @@ def test_unused_names_in_rounds_too(spark, monkeypatch):
     """The names found don't depend on how graphs are searched."""
     monkeypatch.setattr(definitions, "AT_ONCE", 0)
     test_unused_names(spark)
+
+
+def test_unreplaced_is_what_has_no_redefinition(spark, monkeypatch):
+    """Without making pairs: with loops, ties, nulls, nodes of several places, and however graphs are searched."""
+    defs, flow = programs(2)
+    odd = [(7, 900, "x", 0, 0), (7, 901, "x", 0, 0), (7, 902, "x", 0, 1), (7, 902, "x", 1, 0), (7, 902, "y", 2, 0), (7, 903, "y", 2, None), (7, 904, None, 2, 1), (7, 905, "x", None, 1), (7, 906, "z", 0, 1), (7, 906, "z", 1, 1), (8, None, "x", 0, 0), (8, 907, "x", 0, 1), (8, None, "x", 1, 1), (11, 908, "x", 0, 0)]
+    links = [(7, 0, 1), (7, 1, 2), (7, 2, 0), (7, 2, None), (7, None, 1), (8, 0, 1), (9, 0, 1), (None, 0, 1)]
+    d, f = frames(spark, defs + odd, flow + links)
+    pairs = {(r.graph_id, r.definition) for r in definitions.all_redefinitions(d, f).collect()}
+    want = sorted(map(repr, [tuple(r) for r in d.collect() if r.node is None or (r.graph_id, r.node) not in pairs]))
+    assert 10 < len(want) < len(defs)
+    for limit in (definitions.AT_ONCE, 12, 0):
+        monkeypatch.setattr(definitions, "AT_ONCE", limit)
+        assert sorted(repr(tuple(r)) for r in definitions.unreplaced_definitions(d, f).collect()) == want
+    assert definitions.unreplaced_definitions(d.limit(0), f.limit(0)).count() == 0
+
+
+def test_unused_names_read_definitions_few_times(spark, tmp_path, monkeypatch):
+    """Definitions are read for the sizes of graphs, to be searched, and for the names; not once for every kind of pair."""
+    row = "0L as graph_id, 1L as node, 'a' as variable, 0 as block, 0 as position, 1L as expr, 1L as scope, 'n' as name, 'Assign' as parent_kind, 1L as parent, false as decorated"
+    spark.sql(f"select {row}").write.parquet(f"{tmp_path}/definitions")
+    defs = spark.read.parquet(f"{tmp_path}/definitions")
+    flow = spark.createDataFrame([(0, 0, 1)], "graph_id long, block int, next int")
+    variables, nothing = spark.sql("select 0L as graph_id, 'a' as variable, 1L as own_scope, false as escapes"), spark.sql("select 0L as graph_id, 1L as node, 1L as scope").limit(0)
+    plans, cut = [], definitions.cut
+    monkeypatch.setattr(definitions, "cut", lambda df: (plans.append(df), cut(df))[1])
+    plans.append(definitions.unused_names(defs, flow, variables, nothing, nothing))
+    assert [tuple(r) for r in plans[-1].collect()] == [(0, 1, "a")]
+    reads = sum(len(re.findall(r"Relation \[[^\]]*parent_kind#", df._jdf.queryExecution().optimizedPlan().toString())) for df in plans)
+    assert 0 < reads <= 3
