@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from loomgraph.operators.graph import running_offsets
 
 PAD, UNKNOWN = 0, 1
 RESERVED = ["__pad__", "__unknown__"]
+#: Characters of texts that are encoded in one group, on average.
+GROUP = 4_000_000
 
 
 def token_positions(docs: DataFrame, key: str, words: Column) -> DataFrame:
@@ -21,7 +26,7 @@ def vocabulary(tokens: DataFrame, order: list[str], reserved: list[str] = RESERV
 
     The first place of each token is one aggregation; numbering is by ranges of places, not in one task.
     """
-    first = tokens.groupBy("token").agg(F.min(F.struct(*order)).alias("first"), F.lit(1).alias("one"))
+    first = tokens.groupBy("token").agg(F.min(F.struct(*order) if len(order) > 1 else order[0]).alias("first"), F.lit(1).alias("one"))
     numbered = running_offsets(first, "first", "one", "n").select("token", (F.col("n") + len(reserved)).cast("long").alias("id"))
     fixed = tokens.sparkSession.createDataFrame(list(zip(reserved, range(len(reserved)), strict=True)), "token string, id long")
     return fixed.unionByName(numbered)
@@ -46,6 +51,37 @@ def padded_blocks(tokens: DataFrame, key: str, width: int) -> DataFrame:
     return placed.select(key, "block", F.concat(ids, F.array_repeat(F.lit(PAD).cast("long"), F.lit(width) - F.size("s"))).alias("ids"))
 
 
+def encoded_blocks(docs: DataFrame, key: str, text: str, vocab: DataFrame, width: int) -> DataFrame:
+    """(key, block, ids): the ids of all words between blanks in rows of ``width``, as text with a blank between them.
+
+    What :func:`padded_blocks` gives, without a row for each token: texts are dealt to groups by a hash of
+    their key, a group asks once for the id of each of its distinct words, and encodes its texts where the
+    answers meet them. Each row of ``docs`` is a text of its own; of several ids of a word the smallest counts.
+    """
+    known = docs.select(key, text).where(F.col(text).isNotNull())
+    characters = known.agg(F.sum(F.length(text))).first()[0] or 0
+    dealt = known.withColumn("group", F.pmod(F.xxhash64(key), F.lit(1 + characters // GROUP)))
+    asked = dealt.select("group", text).repartition("group").select("group", F.explode(F.split(text, " ")).alias("token")).distinct()
+    answers = encoded(asked, vocab).select(F.col("group").alias("asking"), "token", "id")
+
+    def encode(texts: pa.Table, ids: pa.Table) -> pa.Table:
+        ids = ids.sort_by("id")
+        words = pc.split_pattern(texts[text].combine_chunks(), " ")
+        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        found = pc.index_in(pc.list_flatten(words), value_set=ids["token"].combine_chunks())
+        spelled = pc.take(ids["id"].combine_chunks().cast(pa.string()), found)
+        blocks = -(-counts // width)
+        of_text = np.repeat(np.arange(len(counts)), blocks)
+        number = np.arange(len(of_text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        size = np.minimum(width, counts[of_text] - number * width)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), spelled), " ")
+        pads = pc.binary_repeat(f" {PAD}", pa.array(width - size))
+        return pa.table({key: texts[key].take(pa.array(of_text)), "block": pa.array(number, pa.int32()), "ids": pc.binary_join_element_wise(joined, pads, "")})
+
+    schema = f"`{key}` {dict(docs.dtypes)[key]}, block int, ids string"
+    return dealt.groupBy("group").cogroup(answers.groupBy("asking")).applyInArrow(encode, schema)
+
+
 def coo(tokens: DataFrame, key: str) -> DataFrame:
     """(row, token_id, value): counts of ids in a row as coordinates."""
     return tokens.groupBy(F.col(key).alias("row"), F.col("id").alias("token_id")).agg(F.count("*").alias("value"))

@@ -364,10 +364,13 @@ e AS (SELECT doc_id, pos, coalesce(id, 1) AS id FROM t LEFT JOIN v USING (token)
 
 
 def _tokens(spark, sf_dir):
-    docs = graph.load(spark, sf_dir, "documents")["documents"].select("doc_id", F.split("text", " ").alias("w"))
+    docs, words = graph.load(spark, sf_dir, "documents")["documents"].select("doc_id", "text"), F.split("text", " ")
     rest = F.pmod("doc_id", F.lit(10))
-    found = docs.select("doc_id", F.when(rest == 0, 1).when(rest == 1, 2).otherwise(0).alias("phase"), F.posexplode("w").alias("pos", "token"))
-    return found, vocabulary.vocabulary(found.where("phase = 0"), ["phase", "doc_id", "pos"])
+    found = docs.select("doc_id", F.when(rest == 0, 1).when(rest == 1, 2).otherwise(0).alias("phase"), F.posexplode(words).alias("pos", "token"))
+    # a text's distinct words keep the order of their first places; text and place are one number, as numbers are hashed and not sorted to find the least
+    train = docs.where(~F.coalesce(rest.isin(0, 1), F.lit(False)))
+    firsts = train.select((F.coalesce("doc_id", F.lit(-(2**63))).cast("decimal(19,0)") * F.lit(2**31).cast("decimal(10,0)")).alias("of_text"), F.posexplode(F.array_distinct(words)).alias("pos", "token"))
+    return found, vocabulary.vocabulary(firsts.select("token", (F.col("of_text") + F.col("pos")).alias("place")), ["place"])
 
 
 @query(f"WITH {TOKENS} SELECT token, CAST(id AS BIGINT) AS id FROM v")
@@ -383,9 +386,8 @@ def token_coo(spark, sf_dir):
 
 @query(f"WITH {TOKENS}, s AS (SELECT doc_id, CAST(pos // 32 AS INT) AS block, list(id ORDER BY pos) AS ids FROM e GROUP BY 1, 2) SELECT doc_id, block, array_to_string(list_resize(ids, 32, 0), ' ') AS ids FROM s")
 def padded_matrix(spark, sf_dir):
-    found, vocab = _tokens(spark, sf_dir)
-    rows = vocabulary.padded_blocks(vocabulary.encoded(found, vocab), "doc_id", 32)
-    return rows.select("doc_id", "block", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+    docs = graph.load(spark, sf_dir, "documents")["documents"]
+    return vocabulary.encoded_blocks(docs, "doc_id", "text", _tokens(spark, sf_dir)[1], 32)
 
 
 @query("SELECT p_partkey, array_to_string(list_transform(range(0, CAST(greatest(ceil(length(p_name) / 15.0), 1) AS BIGINT)), lambda i: substr(p_name, i * 15 + 1, 15)), '|') AS pieces FROM part")

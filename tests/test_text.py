@@ -119,6 +119,31 @@ def test_vocabulary_and_padding(spark):
     assert {r.k: r.ids for r in padded.collect()} == {1: [2, 3], 2: [4, 0], 3: [1, 0]}
 
 
+def test_texts_encoded_in_groups(spark, monkeypatch):
+    """Same rows as token by token, for odd texts and any number of groups; a group asks for a word once."""
+    texts = ["", " ", "a", "a b  a ", None, "ü 中 a\u00a0b\tc", " ".join(f"w{i % 7}" for i in range(64)), "a " * 500, "new words b", *[f"t{i} a b t{i}" for i in range(20)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b")], "k long, t string")
+    tokens = vocabulary.token_positions(docs, "k", F.split("t", " "))
+    vocab = vocabulary.vocabulary(tokens.where("k <> 8"), ["k", "pos"])
+    want = {(r.k, r.block): " ".join(map(str, r.ids)) for r in vocabulary.padded_blocks(vocabulary.encoded(tokens, vocab), "k", 32).collect()}
+    asked, encoded = [], vocabulary.encoded
+    monkeypatch.setattr(vocabulary, "encoded", lambda tokens, vocab: (asked.append(tokens.count()), encoded(tokens, vocab))[1])
+    for group in (10**6, 300, 1):
+        monkeypatch.setattr(vocabulary, "GROUP", group)
+        got = vocabulary.encoded_blocks(docs, "k", "t", vocab, 32).collect()
+        assert {(r.k, r.block): r.ids for r in got} == want and len(got) == len(want)
+    distinct = tokens.select("token").distinct().count()
+    assert asked[0] == distinct < asked[2] < tokens.count() / 4
+    assert vocabulary.encoded_blocks(docs.limit(0), "k", "t", vocab, 32).count() == 0
+
+
+def test_first_places_as_numbers(spark):
+    """One column of places gives the ids that several do."""
+    tokens = spark.createDataFrame([(2, 0, "b"), (1, 1, "a"), (1, 0, "c"), (2, 1, "a"), (-5, 3, "d")], "k long, pos int, token string")
+    one = tokens.select("token", (F.col("k") * 2**31 + F.col("pos")).alias("place"))
+    assert sorted(map(tuple, vocabulary.vocabulary(one, ["place"]).collect())) == sorted(map(tuple, vocabulary.vocabulary(tokens, ["k", "pos"]).collect()))
+
+
 def test_first_difference(spark):
     df = spark.createDataFrame([(1, "a\nfoo(connection)", "a\nfoo(self)"), (2, "same", "same"), (3, "x", "x\ny")], "k int, l string, r string")
     got = {r.k: (r.line, r.column, r.left_word, r.right_word) for r in vocabulary.first_difference(df, "l", "r").collect()}
