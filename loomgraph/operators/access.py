@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.operators.graph import both_ways, cut, running_offsets, running_within
+from loomgraph.operators.graph import both_ways, cut, likely, running_offsets, running_within, unsent
 from loomgraph.operators.walks import FAVOURED_WEIGHT, weight_of
 
 #: Hexadecimal digits of a hash that make a number: 52 bits.
@@ -31,7 +31,7 @@ def ticket_table(edges: DataFrame, favoured: tuple[str, ...], heavy: int = FAVOU
     ways = both_ways(edges.select("src", "dst", "label")).groupBy("src", "dst").agg(F.array_sort(F.collect_set("label")).alias("labels"))
     ways = cut(running_within(ways.withColumn("weight", weight_of(F.col("dst"), favoured, heavy).cast("long")), "src", "dst", "weight"))
     there = ways.groupBy(F.col("src").alias("dst")).agg(F.first("total").alias("dst_total"))
-    rows = ways.join(there, "dst").withColumn("ticket", F.explode(F.sequence("low", F.col("low") + F.col("weight") - 1)))
+    rows = ways.join(unsent(there), "dst").withColumn("ticket", F.explode(F.sequence("low", F.col("low") + F.col("weight") - 1)))
     return cut(rows.select("src", "ticket", "dst", "labels", "total", "dst_total"))
 
 
@@ -43,13 +43,9 @@ def epoch_order(samples: DataFrame, key: str, epoch: int, seed: str = "0") -> Da
 
 
 def _near(tickets: DataFrame, going: DataFrame) -> DataFrame:
-    """The tickets (node, ticket) that walks have drawn, and a few others: a bitmap of their hashes, of at most ``BITS`` bits, spares the rest the join."""
-    place = lambda df, node: df.withColumn("__bit", F.pmod(F.xxhash64(node, F.col("ticket").cast("long")), F.lit(BITS)))
-    marks = place(going.select("node", "ticket"), "node").groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
-    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
-    rows = place(tickets, "src").withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(marks), "__bucket")
-    byte = F.conv(F.hex(F.substring("__marks", F.floor(F.bitmap_bit_position("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return rows.where(F.getbit(byte.cast("long"), F.pmod(F.bitmap_bit_position("__bit"), F.lit(8)).cast("int")) == 1).select(tickets.columns)
+    """The tickets (node, ticket) that walks have drawn, and a few others."""
+    places = going.select(F.col("node").alias("src"), F.col("ticket").cast("long").alias("__ticket"))
+    return likely(tickets.withColumn("__ticket", F.col("ticket").cast("long")), places, ["src", "__ticket"], BITS).select(tickets.columns)
 
 
 def walks_at(tickets: DataFrame, places: DataFrame, anchor: str, walks: int, steps: tuple[int, int], seed: str = "0") -> DataFrame:
@@ -63,14 +59,14 @@ def walks_at(tickets: DataFrame, places: DataFrame, anchor: str, walks: int, ste
     at = ["epoch", "position", "walk"]
     drawn = lambda *parts: number(F.lit(seed), *at, *parts)
     totals = tickets.where("ticket = 0").select(F.col("src").alias("node"), "total")
-    now = places.select("epoch", "position", F.col(anchor).alias("node"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")).join(totals, "node", "left")
+    now = places.select("epoch", "position", F.col(anchor).alias("node"), F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk")).join(unsent(totals), "node", "left")
     now = now.withColumn("length", low + F.pmod(drawn(F.lit("length")), F.lit(high - low + 1)))
     now = cut(now.select(*at, "length", F.lit(0).alias("step"), "node", F.lit(None).cast("string").alias("label"), F.array().cast("array<string>").alias("used"), F.lit(True).alias("moved"), "total"))
     out = now.select(*at, "step", "node", "label")
     for step in range(1, high + 1):
         going = now.where((F.col("length") >= step) & F.col("total").isNotNull()).select(*at, "length", "node", "used", "total")
         going = going.withColumn("ticket", F.pmod(drawn(F.lit(str(step)), F.lit("node")), F.col("total")))
-        taken = going.join(_near(tickets, going).select(F.col("src").alias("node"), "ticket", "dst", "labels", "dst_total"), ["node", "ticket"])
+        taken = going.join(unsent(_near(tickets, going).select(F.col("src").alias("node"), "ticket", "dst", "labels", "dst_total")), ["node", "ticket"])
         taken = taken.withColumn("label", F.get("labels", F.pmod(drawn(F.lit(str(step)), F.lit("edge")), F.size("labels")).cast("int")))
         taken = taken.withColumn("name", F.concat_ws(" ", F.least("node", "dst"), F.greatest("node", "dst"), "label"))
         taken = taken.withColumn("moved", ~F.array_contains("used", F.col("name")))

@@ -20,6 +20,24 @@ def cut(df: DataFrame) -> DataFrame:
     return settle(df, "graph")
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """For a side of a join: neither side goes whole through the driver, however small its files make it look.
+
+    Repeated texts take next to nothing in files, so a broadcast planned by their size may hold a hundred times as much.
+    """
+    return df.hint("merge")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int) -> DataFrame:
+    """The rows with the keys of ``wanted`` and a few others: a bitmap of the keys' hashes, of at most ``bits`` bits, spares the rest a join."""
+    place = lambda df: df.withColumn("__bit", F.pmod(F.xxhash64(*keys), F.lit(bits)))
+    marks = place(wanted.select(keys)).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
+    marks = marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__marks"))
+    marked = place(rows).withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(marks), "__bucket")
+    byte = F.conv(F.hex(F.substring("__marks", F.floor(F.bitmap_bit_position("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(F.getbit(byte.cast("long"), F.pmod(F.bitmap_bit_position("__bit"), F.lit(8)).cast("int")) == 1).select(rows.columns)
+
+
 def node_label(rel: str, key: Column) -> Column:
     return F.concat(F.lit(f"{rel}("), key.cast("string"), F.lit(")"))
 
@@ -225,7 +243,7 @@ def running_within(df: DataFrame, group: str, order: str, size: str) -> DataFram
     before = F.sum("__sum").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__sum")
     sums = sums.select("__range", group, before.alias("__before"), F.sum("__sum").over(whole).alias("total"))
     within = F.sum(size).over(Window.partitionBy("__range", group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    return ranged.withColumn("__within", within).join(sums, ["__range", group]).withColumn("low", F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
+    return ranged.withColumn("__within", within).join(unsent(sums), ["__range", group]).withColumn("low", F.col("__before") + F.col("__within")).drop("__range", "__within", "__before")
 
 
 def ancestors(parents: DataFrame, depth: int | None = None) -> DataFrame:

@@ -102,3 +102,21 @@ def test_few_tickets_meet_the_walks(spark, monkeypatch):
     assert wanted <= near and len(near) < 310
     monkeypatch.setattr(access, "BITS", 8)
     assert wanted <= {(r.src, r.ticket) for r in access._near(tickets, going).collect()}
+
+
+def test_walkers_are_not_broadcast(spark, monkeypatch):
+    """However small their files look, neither walkers nor nodes go whole through the driver: only bitmaps do."""
+    plans = []
+
+    def kept(cut):
+        return lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df)
+
+    for module in (access, graph):
+        monkeypatch.setattr(module, "cut", kept(module.cut))
+    edges = spark.createDataFrame([(f"a({i % 3})", f"b({i})", "l") for i in range(30)], "src string, dst string, label string")
+    tickets = access.ticket_table(edges, ("a",))
+    places = spark.createDataFrame([(0, i, f"b({i})") for i in range(9)], "epoch long, position long, anchor string")
+    access.walks_at(tickets, places, "anchor", 2, (2, 3), "s")
+    joins = [line for plan in plans for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert joins and all("__bucket" in line for line in joins)
+    assert any("SortMergeJoin" in plan for plan in plans)
